@@ -11,7 +11,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -47,6 +47,12 @@ class Scratch:
         self._paths[id(saved)] = path
         return saved
 
+    def save_observed(self, df: DataFrame, *observed: Column) -> tuple[DataFrame, dict]:
+        """As ``save``, with aggregates of the rows that come out of the same pass; a task run twice may count twice."""
+        seen = Observation()
+        saved = self.save(df.observe(seen, *observed))
+        return saved, seen.get
+
     def drop(self, *saved: DataFrame) -> None:
         """Deletes tables that ``save`` returned; nothing may still have to be computed from them."""
         for df in saved:

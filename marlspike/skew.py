@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 256
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, total: int | None = None) -> list:
     """The keys that hold more than ``share`` of the rows; by counting, fewer than 1 / share values."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()
+    total = df.count() if total is None else total
     found = counts.where((F.col("n") > F.lit(total * share)) & (F.col("n") > 1) & F.col(key).isNotNull())
     return [row[0] for row in found.select(key).collect()]
 
