@@ -154,8 +154,10 @@ class DensityPeaks:
         rows = facing("a", "a", 1).unionByName(facing("b", "b", -1))
         schema = "pair long, side string, " + ", ".join(f"{x} long" for x in self.axes)
 
-        def front(pdf: pd.DataFrame, axes: tuple = tuple(self.axes)) -> pd.DataFrame:
-            return pdf.iloc[_outermost(pdf[[*axes]].to_numpy())][["pair", "side", *axes]]
+        axes = list(self.axes)
+
+        def front(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pdf.iloc[_outermost(pdf[axes].to_numpy())][["pair", "side", *axes]]
 
         share = F.pmod(F.xxhash64(*self.axes), F.ceil(F.col("most") / FRONT_ROWS)).alias("share")
         fronts = self.scratch.save(rows.groupBy("pair", "side", share).applyInPandas(front, schema))
