@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 from marlspike.llm.components import components
 from marlspike.llm.cooccurrence import together
 from marlspike.llm.density import peak_clusters, similarity_groups
+from marlspike.llm.markup.pages import page_elements, page_texts
 from marlspike.llm.weighting import term_weights, top_terms
 from marlspike.session import read
 
 FIELDS = ["duration", "src_bytes", "dst_bytes", "count"]
 
 
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    return page_elements(read(spark, directory, "doctexts"), "page_id", "contents")
+
+
+def p2_texts(spark: SparkSession, directory: str) -> DataFrame:
+    return page_texts(read(spark, directory, "doctexts"), "page_id", "contents")
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     links = read(spark, directory, "matchdata").where("is_match")
     found = components(links, "id_1", "id_2")
@@ -56,7 +65,7 @@ def p7_clusters(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_group_sizes, p4_found, p4_pairs, p6_found, p6_relevance, p7_found, p7_clusters)}
+    return {f.__name__: f for f in (p2_found, p2_texts, p3_found, p3_group_sizes, p4_found, p4_pairs, p6_found, p6_relevance, p7_found, p7_clusters)}
 
 
 _GROUPS = """
