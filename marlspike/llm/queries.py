@@ -9,7 +9,12 @@ from marlspike.llm.components import components
 from marlspike.llm.cooccurrence import together
 from marlspike.llm.density import peak_clusters, similarity_groups
 from marlspike.llm.markup.pages import page_elements, page_texts
+from marlspike.llm.mixing import Mix
+from marlspike.llm.packing import pack, split_items
+from marlspike.llm.reading import band_of, reading_levels
+from marlspike.llm.tokens import token_sizes
 from marlspike.llm.weighting import term_weights, top_terms
+from marlspike.functions.names import lower_name
 from marlspike.session import read
 
 FIELDS = ["duration", "src_bytes", "dst_bytes", "count"]
@@ -64,8 +69,60 @@ def p7_clusters(spark: SparkSession, directory: str) -> DataFrame:
     return peak_clusters(read(spark, directory, "kddcup"), "conn_id", FIELDS)
 
 
+def _packed(spark: SparkSession, directory: str) -> tuple[DataFrame, int]:
+    capacity = read(spark, directory, "containers").agg(F.max("capacity_tokens")).first()[0]
+    return pack(token_sizes(read(spark, directory, "documents"), "doc_id", "text"), "doc_id", "n_tokens", capacity), capacity
+
+
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    return split_items(_packed(spark, directory)[0], "doc_id")
+
+
+def p8_packed(spark: SparkSession, directory: str) -> DataFrame:
+    """(doc_id, piece, n_tokens, container) of all documents."""
+    return _packed(spark, directory)[0]
+
+
+def p8_fill(spark: SparkSession, directory: str) -> DataFrame:
+    """How full the containers are, all together."""
+    packed, capacity = _packed(spark, directory)
+    filled = packed.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    return filled.agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("tokens"), (F.sum("n") / (F.count(F.lit(1)) * capacity)).alias("fill"))
+
+
+def _mix(spark: SparkSession, directory: str) -> Mix:
+    sizes = token_sizes(read(spark, directory, "documents"), "doc_id", "text", "source")
+    return Mix(sizes, "doc_id", "source", "n_tokens", read(spark, directory, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    return _mix(spark, directory).report().where("short").select("source")
+
+
+def p9_report(spark: SparkSession, directory: str) -> DataFrame:
+    return _mix(spark, directory).report()
+
+
+def p9_mixed(spark: SparkSession, directory: str) -> DataFrame:
+    return _mix(spark, directory).mixed()
+
+
+def _english_levels(spark: SparkSession, directory: str) -> DataFrame:
+    english = read(spark, directory, "documents").where(lower_name("lang").isin("en", "eng", "english"))
+    return reading_levels(english, "doc_id", "text").withColumn("band", band_of(F.col("level")))
+
+
+def p10_found(spark: SparkSession, directory: str) -> DataFrame:
+    return _english_levels(spark, directory).select("doc_id", "band")
+
+
+def p10_profile(spark: SparkSession, directory: str) -> DataFrame:
+    """Texts and mean grade of each level."""
+    return _english_levels(spark, directory).groupBy("level", "band").agg(F.count(F.lit(1)).alias("texts"), F.round(F.avg("grade"), 3).alias("mean_grade"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_texts, p3_found, p3_group_sizes, p4_found, p4_pairs, p6_found, p6_relevance, p7_found, p7_clusters)}
+    return {f.__name__: f for f in (p2_found, p2_texts, p3_found, p3_group_sizes, p4_found, p4_pairs, p6_found, p6_relevance, p7_found, p7_clusters, p8_found, p8_packed, p8_fill, p9_found, p9_report, p9_mixed, p10_found, p10_profile)}
 
 
 _GROUPS = """
