@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marlspike.plans import movement
+from marlspike.plans import linkage, movement, topics
 
-MODULES = [movement]
+MODULES = [linkage, topics, movement]
 
 
 def queries() -> dict:
