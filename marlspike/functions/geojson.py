@@ -6,6 +6,8 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 PIECES = "feature_id long, kind string, part int, x1 double, y1 double, x2 double, y2 double"
 
@@ -67,3 +69,24 @@ def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     rows += [(feature, "area", part, *a, *b) for a, b in zip(closed, closed[1:], strict=False) if a != b]
             rows += [(feature, "point", len(areas) + i, x, y, x, y) for i, (x, y) in enumerate(points)]
         yield pd.DataFrame(rows, columns=["feature_id", "kind", "part", "x1", "y1", "x2", "y2"])
+
+
+def area(text: str | None) -> float:
+    """The area of a geometry in the square of its unit, holes left out."""
+    total = 0.0
+    for rings in areas_and_points(text)[0]:
+        for i, ring in enumerate(rings):
+            closed = [*ring, ring[0]]
+            size = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(closed, closed[1:], strict=False))) / 2
+            total += -size if i else size
+    return total
+
+
+def rough_area(geometry: str) -> Column:
+    """The planar area of a column of geometries."""
+
+    @F.pandas_udf("double")
+    def areas(texts: pd.Series) -> pd.Series:
+        return texts.map(area).astype(float)
+
+    return areas(F.col(geometry))

@@ -63,22 +63,24 @@ def connected_components(links: DataFrame, vertex_ids: DataFrame | None = None)
     the smallest ids are left; the number of turns grows with the logarithm of a component's size.
     """
     scratch = Scratch(links.sparkSession)
-    star = scratch.save(links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u != v").distinct())
-    while True:
+    marks = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("mark"))
+    star, seen = scratch.save_observed(links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u != v").distinct(), *marks)
+    while seen["n"]:
         # neighbours that are greater than a vertex, and itself, move to its smallest neighbour
         around = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = skew_join(around, least, "u", hot_keys(around, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = scratch.save(large)
+        greater = skew_join(around, least, "u", hot_keys(around, "u", total=2 * seen["n"])).where("v > u")
+        large, counted = scratch.save_observed(greater.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), *marks)
         # smaller neighbours of a vertex, and itself, move to the smallest of them
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = skew_join(large, small_least, "u", hot_keys(large, "u"))
+        moved = skew_join(large, small_least, "u", hot_keys(large, "u", total=counted["n"]))
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        small, counted = scratch.save_observed(small, F.count(F.lit(1)).alias("n"))
-        if star.count() == counted["n"] and star.exceptAll(small).isEmpty():
+        small, turned = scratch.save_observed(small, *marks)
+        scratch.drop(large)
+        if turned == seen:  # equal counts and sums of hashes: the same edges
             break
-        scratch.drop(star, large)
-        star = small
+        scratch.drop(star)
+        star, seen = small, turned
     labels = star.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(star.select(F.col("v").alias("id"), F.col("v").alias("component")))
     ends = links.select(F.explode(F.array("src", "dst")).alias("id"))
     everyone = ends if vertex_ids is None else ends.unionByName(vertex_ids.select("id"))
@@ -96,14 +98,15 @@ def triangles(links: DataFrame) -> DataFrame:
     Each edge points from the end with fewer neighbours to the other, so that two edges out of one vertex are joined only
     where it has few: at most the root of twice the edges, also at a vertex that meets all others.
     """
-    once = links.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).where("x != y").distinct()
+    scratch = Scratch(links.sparkSession)
+    once = scratch.save(links.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).where("x != y").distinct())
     degree = once.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
     hot = hot_keys(once.select(F.explode(F.array("x", "y")).alias("v")), "v")
     ranked = skew_join(once, degree.select(F.col("id").alias("x"), F.col("d").alias("dx")), "x", hot)
     ranked = skew_join(ranked, degree.select(F.col("id").alias("y"), F.col("d").alias("dy")), "y", hot)
     forward = F.struct("dx", "x") < F.struct("dy", "y")
     out = ranked.select(F.when(forward, F.col("x")).otherwise(F.col("y")).alias("s"), F.when(forward, F.col("y")).otherwise(F.col("x")).alias("t"), F.when(forward, F.col("dy")).otherwise(F.col("dx")).alias("dt"))
-    out = Scratch(links.sparkSession).save(out)
+    out = scratch.save(out)
     p, q = out.select("s", F.col("t").alias("t1"), F.col("dt").alias("d1")), out.select("s", F.col("t").alias("t2"), F.col("dt").alias("d2"))
     wedges = p.join(q, "s").where(F.struct("d1", "t1") < F.struct("d2", "t2"))
     closed = wedges.join(out.select(F.col("s").alias("t1"), F.col("t").alias("t2")), ["t1", "t2"])

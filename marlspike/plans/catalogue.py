@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marlspike.plans import linkage, movement, topics
+from marlspike.plans import linkage, movement, shops, topics
 
-MODULES = [linkage, topics, movement]
+MODULES = [linkage, topics, movement, shops]
 
 
 def queries() -> dict:

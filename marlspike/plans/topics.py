@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlspike.functions.names import lower_name
 from marlspike.operators import graph, profile
+from marlspike.scratch import Scratch
 from marlspike.session import read
 
 #: Edges of the graph: pairs of topics whose chi squared exceeds this (the 0.001 % point and beyond).
@@ -30,17 +31,19 @@ def _pairs(spark: SparkSession, directory: str) -> DataFrame:
 
 def _weighted(spark: SparkSession, directory: str) -> DataFrame:
     """(src, dst, chi2) of all pairs."""
-    records = _records(spark, directory)
-    counts = graph.topic_counts(records, "topics").select(graph.hash_id(F.col("topic")).alias("id"), "cnt")
-    return graph.chi_squared_edges(graph.edges(_pairs(spark, directory)), counts, records.count())
+    scratch = Scratch(spark)
+    records, seen = scratch.save_observed(_records(spark, directory), F.count(F.lit(1)).alias("n"))
+    counts = scratch.save(graph.topic_counts(records, "topics").select(graph.hash_id(F.col("topic")).alias("id"), "cnt"))
+    pairs = scratch.save(graph.edges(graph.cooccurrences(records, "topics")))
+    return graph.chi_squared_edges(pairs, counts, seen["n"])
 
 
 def _strong(spark: SparkSession, directory: str) -> DataFrame:
-    return _weighted(spark, directory).where(F.col("chi2") > CHI_SQUARED)
+    return Scratch(spark).save(_weighted(spark, directory).where(F.col("chi2") > CHI_SQUARED))
 
 
 def _vertices(spark: SparkSession, directory: str) -> DataFrame:
-    return graph.vertices(_named(spark, directory), "topic")
+    return Scratch(spark).save(graph.vertices(_named(spark, directory), "topic"))
 
 
 def topic_distribution(spark: SparkSession, directory: str) -> DataFrame:
