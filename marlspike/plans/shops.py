@@ -30,9 +30,9 @@ def alias_canonical_counts(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def popularity_lookup(spark: SparkSession, directory: str) -> DataFrame:
-    """Each customer's suppliers with their popularity among customers with an even number."""
-    bought = _bought(spark, directory)
-    return ranking.popularity(bought.where("user % 2 = 0"), "user", "item", "n", bought)
+    """Each customer's suppliers with their popularity."""
+    bought = Scratch(spark).save(_bought(spark, directory))
+    return ranking.popularity(bought, "user", "item", "n", bought)
 
 
 def negative_items(spark: SparkSession, directory: str) -> DataFrame:
@@ -82,7 +82,7 @@ negs as (select u, i from (select n.u, n.i, p, row_number() over (partition by n
 def oracles() -> dict[str, str]:
     return {
         "alias_canonical_counts": "with m as (select p_partkey as alias, min(p_partkey) over (partition by p_name) as target from part) select coalesce(target, l_partkey) as l_partkey, count(*) as count from lineitem left join m on alias = l_partkey group by 1",
-        "popularity_lookup": f"with {_BOUGHT}, t as (select i, sum(n)::bigint as prediction from bought where u % 2 = 0 group by i) select u as user, i as item, prediction from bought left join t using (i)",
+        "popularity_lookup": f"with {_BOUGHT}, t as (select i, sum(n)::bigint as prediction from bought group by i) select u as user, i as item, prediction from bought left join t using (i)",
         "negative_items": f"with {_BOUGHT}, {_NEGATIVES} select u as user, i as item from negs",
         "mean_auc": f"with {_BOUGHT}, {_NEGATIVES}, t as (select i, sum(n) as s from bought group by i), x as (select b.u, b.i, s from bought b join t using (i)), y as (select n.u, n.i, s from negs n left join t using (i)), k as (select x.u, avg(case when x.s > y.s then 1.0::double else 0 end) as auc from x join y on x.u = y.u group by x.u) select round(avg(auc), 6) as mean_auc from k",
         "type_counts": "select p_type, count(*) as count from part group by p_type",
