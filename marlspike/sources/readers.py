@@ -225,5 +225,7 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None
 
 def feature_collection(features: DataFrame) -> DataFrame:
     """(json): each feature (id, properties map, geometry text) as a GeoJSON feature, one a row."""
-    head = F.concat(F.lit('{"type":"Feature"'), F.coalesce(F.concat(F.lit(',"id":'), F.to_json(F.array("id")).substr(F.lit(2), F.length(F.to_json(F.array("id"))) - 2)), F.lit("")))
+    quoted = F.to_json(F.array("id"))  # in brackets, which are cut off
+    named = F.when(F.col("id").isNotNull(), F.concat(F.lit(',"id":'), F.substr(quoted, F.lit(2), F.length(quoted) - 2)))
+    head = F.concat(F.lit('{"type":"Feature"'), F.coalesce(named, F.lit("")))
     return features.select(F.concat(head, F.lit(',"properties":'), F.coalesce(F.to_json("properties"), F.lit("{}")), F.lit(',"geometry":'), F.coalesce("geometry", F.lit("null")), F.lit("}")).alias("json"))

@@ -1,0 +1,34 @@
+"""Every query of the core that has SQL, against it, on the smallest tables."""
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from marlspike.plans import catalogue
+from verify import rows_of
+
+DATA = Path("/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def tables():
+    con = duckdb.connect()
+    for path in DATA.glob("*.parquet"):
+        con.execute(f"create view {path.stem} as select * from read_parquet('{path}')")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.oracles()))
+def test_same_rows(spark, tables, name):
+    df = catalogue.queries()[name](spark, str(DATA))
+    result = tables.execute(catalogue.oracles()[name])
+    columns = [c[0] for c in result.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert rows_of(df.columns, df.collect()) == rows_of(columns, result.fetchall())
+
+
+@pytest.mark.parametrize("name", ["factor_weights", "return_density", "page_terms", "kmeans_sizes", "tree_importances"])
+def test_runs(spark, name):
+    assert catalogue.queries()[name](spark, str(DATA)).count() > 0
