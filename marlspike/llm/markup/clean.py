@@ -75,3 +75,20 @@ def of_running(text: str, languages: set[str]) -> str:
         if name in languages:
             text = CLEANERS[name](text)
     return text
+
+
+def table_rows(shape: str, text: str) -> list[str]:
+    """The rows of a table, or of a line of one, with cells between bars; no rows for what isn't one."""
+    if shape == "table":
+        rows = [[of_html(c) for c in re.split(r"<t[dh]\b[^>]*>", r, flags=re.I)[1:]] for r in re.split(r"<tr\b[^>]*>", text, flags=re.I)]
+    elif shape == "wikitable":
+        lines = [x.strip() for x in text.split("\n")]
+        rows = [[of_wiki(c) for c in re.split(r"\|\||!!", x.lstrip("|!"))] for x in lines if x[:1] in ("|", "!") and x[:2] not in ("|-", "|}", "|+")]
+    elif shape == "tabular":
+        inner = re.sub(r"\\(?:begin|end)\{[^}]*\}(?:\{[^}]*\})?|\\hline", "", text)
+        rows = [[of_latex(c) for c in re.split(r"(?<!\\)&", r)] for r in re.split(r"\\\\", inner)]
+    elif shape == "bar" and not re.fullmatch(r"[\s|:\-]+", text):
+        rows = [[of_markdown(c) for c in text.strip().strip("|").split("|")]]
+    else:
+        rows = []
+    return [" | ".join(cells) for row in rows if any(cells := [squeezed(c) for c in row])]

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlspike.llm.markup.clean import CLEANERS, of_html, of_running, squeezed
+from marlspike.llm.markup.clean import CLEANERS, of_html, of_running, squeezed, table_rows
 from marlspike.llm.markup.crf import ChainField
 from marlspike.llm.markup.features import page_features
 from marlspike.llm.markup.leaves import Leaf, inline_languages, leaves
@@ -60,7 +60,7 @@ def elements(page: str | None, field: ChainField) -> list[tuple[str, str]]:
 
 
 def clean_text(page: str | None, field: ChainField) -> str:
-    """The page without markup: headings after #, items after -, code in fences, formulas between dollar signs."""
+    """The page without markup: headings after #, items after -, code in fences, formulas between dollar signs, cells between bars."""
     if not page or not page.strip():
         return ""
     pieces, languages = _pieces(page, field)
@@ -73,6 +73,8 @@ def clean_text(page: str | None, field: ChainField) -> str:
         elif kind == "code":
             body = leaf.body.strip("\n")
             text = "```\n" + (of_html(body) if leaf.shape == "pre" else body) + "\n```"
+        elif kind == "other":
+            text = "\n".join(table_rows(leaf.shape, leaf.body))
         else:
             text = {"heading": "# ", "item": "- ", "formula": "$"}.get(kind, "") + content + ("$" if kind == "formula" else "")
         if text and not leaf.around:

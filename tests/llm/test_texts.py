@@ -70,6 +70,14 @@ def test_pages(spark, rows, field):
     assert clean_text("<pre>\nx\n  y</pre>\n\n<p>a <i>b</i></p>", field).startswith("```\nx\n  y\n```")
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<p>a <i>b</i></p><table><tr><td>c</td><td>4</td></tr><tr><td>d<td>7</tr></table>", "a ''b''\n\n{| class=\"w\"\n|-\n| c || 4\n|-\n| d || 7\n|}", "a **b**\n\n| c | 4 |\n|---|:-:|\n| d | 7 |", "a \\emph{b}\n\n\\begin{tabular}{ll}\nc & 4 \\\\\nd & 7 \\\\\n\\end{tabular}"],
+)
+def test_tables_in_clean_text(field, page):
+    assert clean_text(page, field).split() == "a b c | 4 d | 7".split()
+
+
 def test_tokens(spark, rows):
     table = spark.createDataFrame([(1, "A short text."), (2, None), (3, ""), (4, "a b " * 60_000), (5, "x" * 200_000)], "id long, text string")
     got = dict(rows(token_sizes(table, "id", "text")))
