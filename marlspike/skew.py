@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A key is hot above this part of all rows, so there are fewer than its inverse of them, whatever the data.
+#: A key is hot above this part of all rows, so there are fewer than its inverse of them, whatever the data ...
 HOT_SHARE = 1 / 256
+#: ... and above so many rows; fewer are no burden to the task that gets them.
+HOT_ROWS = 20_000
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, total: int | None = None) -> list:
-    """The keys that hold more than ``share`` of the rows; by counting, fewer than 1 / share values."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, total: int | None = None, least: int = HOT_ROWS) -> list:
+    """The keys that hold more than ``share`` of the rows and more than ``least``; by counting, fewer than 1 / share values."""
     total = df.count() if total is None else total
-    found = counts.where((F.col("n") > F.lit(total * share)) & (F.col("n") > 1) & F.col(key).isNotNull())
+    if total <= least:
+        return []
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where((F.col("n") > F.lit(max(total * share, least))) & F.col(key).isNotNull())
     return [row[0] for row in found.select(key).collect()]
 
 
