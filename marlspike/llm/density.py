@@ -67,8 +67,8 @@ class DensityPeaks:
     """
 
     def __init__(self, records: DataFrame, record: str, fields: list[str]):
-        if not 1 <= len(fields) <= 10:
-            raise ValueError("from one to ten fields")
+        if not 1 <= len(fields) <= 6:
+            raise ValueError("from one to six fields")  # a block has 3 ** fields - 1 neighbours
         self.scratch, self.fields, self.record = Scratch(records.sparkSession), fields, record
         self.axes = [f"x{i}" for i in range(len(fields))]
         taken = records.select(F.col(record).cast("long").alias("id"), *(F.col(f).cast("long").alias(x) for f, x in zip(fields, self.axes, strict=True)))
@@ -150,6 +150,9 @@ class DensityPeaks:
             # the pairs are joined to blocks, so a crowded block is spread by the records' side of the join
             return self.records.join(F.broadcast(wanted) if few else wanted, "block").select("pair", "most", F.lit(side).alias("side"), *turned).dropDuplicates()
 
+        def share(rows: Column, salt: int) -> Column:
+            return F.pmod(F.xxhash64(*self.axes, F.lit(salt)), F.ceil(rows / FRONT_ROWS)).alias("share")
+
         few = open_pairs.count() <= BROADCAST_BLOCKS
         rows = facing("a", "a", 1).unionByName(facing("b", "b", -1))
         schema = "pair long, side string, " + ", ".join(f"{x} long" for x in self.axes)
@@ -159,8 +162,18 @@ class DensityPeaks:
         def front(pdf: pd.DataFrame) -> pd.DataFrame:
             return pdf.iloc[_outermost(pdf[axes].to_numpy())][["pair", "side", *axes]]
 
-        share = F.pmod(F.xxhash64(*self.axes), F.ceil(F.col("most") / FRONT_ROWS)).alias("share")
-        fronts = self.scratch.save(rows.groupBy("pair", "side", share).applyInPandas(front, schema))
+        count = F.count(F.lit(1)).alias("n")
+        fronts, seen = self.scratch.save_observed(rows.groupBy("pair", "side", share(F.col("most"), 0)).applyInPandas(front, schema), count)
+        for salt in itertools.count(1):  # the shares' outermost records together, until a pair's side fits into one share
+            sizes = fronts.groupBy("pair", "side").agg(count)
+            if (sizes.agg(F.max("n")).first()[0] or 0) <= FRONT_ROWS and salt > 1:
+                break
+            mixed = fronts.join(sizes, ["pair", "side"]).groupBy("pair", "side", share(F.col("n"), salt))
+            fewer, left = self.scratch.save_observed(mixed.applyInPandas(front, schema), count)
+            stuck = left["n"] > 0.9 * seen["n"]
+            fronts, seen = fewer, left
+            if stuck:
+                break
         x = fronts.where("side = 'a'").select("pair", *(F.col(c).alias(f"a_{c}") for c in self.axes))
         y = fronts.where("side = 'b'").select("pair", *(F.col(c).alias(f"b_{c}") for c in self.axes))
         similar = F.lit(True)
