@@ -17,12 +17,13 @@ SPAN = 12
 
 
 def _start(vertex: str, level: int, seed: int) -> Column:
-    """When a vertex starts a cluster of its own, unless another arrives first: SPAN less an exponential shift, 0 at least.
+    """When a vertex starts a cluster of its own, unless another arrives first: SPAN less an exponential shift.
 
-    The shift comes from a hash, so that a task run again after the loss of an executor draws the same.
+    Shifts beyond SPAN start at about 0, in an order of their own.  The shift comes from a hash, so that a task run again
+    after the loss of an executor draws the same.
     """
     unit = (F.xxhash64(F.col(vertex), F.lit(seed), F.lit(level)).bitwiseAND(F.lit((1 << 52) - 1)) + 1) / F.lit(float(1 << 52))
-    return F.greatest(F.lit(0.0), F.lit(float(SPAN)) + F.log(unit) / RATE)
+    return F.greatest(unit * 1e-3, F.lit(float(SPAN)) + F.log(unit) / RATE)
 
 
 def _clusters(scratch: Scratch, edges: DataFrame, hot: list, level: int, seed: int) -> DataFrame:
@@ -31,10 +32,10 @@ def _clusters(scratch: Scratch, edges: DataFrame, hot: list, level: int, seed: i
     state = scratch.save(both.groupBy(F.col("src").alias("v")).agg(F.lit(True).alias("moved")).select("v", _start("v", level, seed).alias("t"), F.col("v").alias("c"), "moved"))
     for _ in range(SPAN):
         front = state.where("moved").select(F.col("v").alias("src"), "t", "c")
-        sent = skew_join(both, front, "src", hot).groupBy(F.col("dst").alias("v")).agg(F.min(F.struct((F.col("t") + 1).alias("t"), "c")).alias("met"))
+        sent = skew_join(both, front, "src", hot).groupBy(F.col("dst").alias("v")).agg((F.min("t") + 1).alias("then"), F.min_by("c", "t").alias("to"))
         joined = state.drop("moved").join(sent, "v", "left")
-        earlier = F.coalesce(F.col("met") < F.struct("t", "c"), F.lit(False))
-        chosen = joined.select("v", F.when(earlier, F.col("met.t")).otherwise(F.col("t")).alias("t"), F.when(earlier, F.col("met.c")).otherwise(F.col("c")).alias("c"), earlier.alias("moved"))
+        earlier = F.coalesce(F.col("then") < F.col("t"), F.lit(False))
+        chosen = joined.select("v", F.when(earlier, F.col("then")).otherwise(F.col("t")).alias("t"), F.when(earlier, F.col("to")).otherwise(F.col("c")).alias("c"), earlier.alias("moved"))
         grown, seen = scratch.save_observed(chosen, F.count_if("moved").alias("moved"))
         scratch.drop(state)
         state = grown
