@@ -32,10 +32,12 @@ def confusion(predictions: DataFrame, label: str, prediction: str, classes: list
 def scores(predictions: DataFrame, label: str, prediction: str) -> DataFrame:
     """(accuracy, f1): f1 is that of each class weighted by its rows."""
     pairs = predictions.groupBy(label, prediction).agg(F.count(F.lit(1)).alias("n"))
-    right = pairs.where(F.col(label) == F.col(prediction)).select(F.col(label).alias("k"), F.col("n").alias("hit"))
-    rows = pairs.groupBy(F.col(label).alias("k")).agg(F.sum("n").alias("rows"))
-    said = pairs.groupBy(F.col(prediction).alias("k")).agg(F.sum("n").alias("said"))
-    each = rows.join(said, "k", "left").join(right, "k", "left").fillna(0, ["said", "hit"])
+    zero, n, kind = F.lit(0).cast("long"), F.col("n"), "double"
+    # each pair counts for its label and for its prediction; one reading of the predictions, so a model runs once
+    as_label = F.struct(F.col(label).cast(kind).alias("k"), n.alias("rows"), zero.alias("said"), F.when(F.col(label) == F.col(prediction), n).otherwise(zero).alias("hit"))
+    as_said = F.struct(F.col(prediction).cast(kind).alias("k"), zero.alias("rows"), n.alias("said"), zero.alias("hit"))
+    parts = pairs.select(F.explode(F.array(as_label, as_said)).alias("p")).select("p.*")
+    each = parts.groupBy("k").agg(F.sum("rows").alias("rows"), F.sum("said").alias("said"), F.sum("hit").alias("hit")).where("rows > 0")
     return each.agg((F.sum("hit") / F.sum("rows")).alias("accuracy"), (F.sum(F.col("rows") * 2 * F.col("hit") / (F.col("rows") + F.col("said"))) / F.sum("rows")).alias("f1"))
 
 
