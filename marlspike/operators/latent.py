@@ -9,9 +9,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +49,8 @@ class Decomposition:
         return scored.orderBy(F.desc("score"), F.desc("doc_id")).limit(most)
 
     def top_terms(self, concepts: int, most: int) -> list[list[tuple[str, float]]]:
-        """(term, weight) of the terms that weigh most in each of the first concepts."""
-        return [[(self.vocabulary[i], float(self.terms[i, c])) for i in np.argsort(-self.terms[:, c], kind="stable")[:most]] for c in range(concepts)]
+        """(term, weight) of the terms that weigh most in each of the first concepts, or of all if there are fewer."""
+        return [[(self.vocabulary[i], float(self.terms[i, c])) for i in np.argsort(-self.terms[:, c], kind="stable")[:most]] for c in range(min(concepts, len(self.strengths)))]
 
     def top_documents(self, concepts: int, most: int) -> list[DataFrame]:
         """(doc_id, score) of the documents that weigh most in each of the first concepts."""
@@ -81,9 +82,17 @@ class Decomposition:
 
 
 def decompose(matrix: DataFrame, doc_id: str, vector: str, vocabulary: list[str], idf: np.ndarray, k: int = 100) -> Decomposition:
-    """The decomposition of the matrix whose rows are the vectors; ids are integers."""
-    rows = matrix.select(F.col(doc_id).cast("long"), vector).rdd.map(lambda r: IndexedRow(r[0], Vectors.fromML(r[1])))
-    svd = IndexedRowMatrix(rows).computeSVD(k, computeU=True)
+    """The decomposition of the matrix whose rows are the vectors; ids are integers.
+
+    ``k`` is bounded by the numbers of documents and terms; a matrix of lower rank has fewer concepts still.  Lanczos rounds
+    read the rows over and over, so these stay in the JVM and are kept there until the factors are known.
+    """
+    rows = matrix.select(F.col(doc_id).cast("long").alias("index"), F.col(vector).alias("vector"))
+    rows = MLUtils.convertVectorColumnsFromML(rows, "vector")
+    held = IndexedRowMatrix(rows)
+    kept = held._java_matrix_wrapper._java_model.rows().persist(matrix.sparkSession.sparkContext._getJavaStorageLevel(StorageLevel.MEMORY_AND_DISK))
+    k = min(k, kept.count(), len(vocabulary))
+    svd = held.computeSVD(k, computeU=True)
     local = svd.V.toArray()
     sign = np.sign(local[np.abs(local).argmax(axis=0), np.arange(local.shape[1])])
     sign[sign == 0] = 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlspike.functions.names import lower_name
 from marlspike.operators import latent, text
 from marlspike.scratch import Scratch
 from marlspike.session import read
@@ -51,15 +52,15 @@ def tfidf_weights(spark: SparkSession, directory: str) -> DataFrame:
     return counts.join(F.broadcast(weights), "term").select("doc_id", "term", "tf", F.round(F.col("tf") * F.col("idf"), 6).alias("weight"))
 
 
-def _latent(spark: SparkSession, directory: str, k: int = 10, vocabulary: int = 400) -> latent.Decomposition:
-    pages = read(spark, directory, "doctermmatrix").where(F.size("terms") > 1).dropDuplicates(["page_id"])
-    clean = pages.select("page_id", F.filter("terms", lambda t: t.isNotNull()).alias("terms"))
-    matrix, names, idf = text.term_matrix(clean, "terms", vocabulary)
-    return latent.decompose(matrix, "page_id", "weights", names, idf, k)
+def _latent(spark: SparkSession, directory: str) -> latent.Decomposition:
+    """100 concepts of the 20,000 most frequent terms (the operators' defaults); spellings of a term count as one."""
+    pages = read(spark, directory, "doctermmatrix").select("page_id", F.filter(F.transform("terms", lower_name), lambda t: t.isNotNull()).alias("terms"))
+    matrix, names, idf = text.term_matrix(pages.where(F.size("terms") > 1).dropDuplicates(["page_id"]), "terms")
+    return latent.decompose(matrix, "page_id", "weights", names, idf)
 
 
 def lsa_topdocs(spark: SparkSession, directory: str) -> DataFrame:
-    """Pages for a query of two terms in a space of ten concepts."""
+    """Pages for a query of two terms in a space of a hundred concepts."""
     return _latent(spark, directory).documents_for_query(["castle", "railway"])
 
 
