@@ -56,8 +56,9 @@ class DensityPeaks:
     * density of a block: its records, and those of adjacent blocks halved for each field in which they differ;
     * the blocked neighbour join finds, for each block, the adjacent ones with a similar pair of records.  Least and
       greatest values decide this where one field differs.  Where more do, they can only rule it out; the records that
-      decide are then the outermost in the direction of the other block, and only these are compared.  This is done for
-      blocks whose peaks aren't joined otherwise, so it never changes a label to leave it out;
+      decide are then the outermost in the direction of the other block, and only these are compared.  ``diagonal`` does
+      so for blocks without a denser one that differs in one field, which is all that pointers need; ``groups`` does so
+      for blocks whose peaks aren't joined otherwise and needs no ``diagonal``;
     * each block points to its nearest linked denser block, nearest by the number of differing fields, then the densest;
       blocks with none are peaks, and following the pointers labels every block with its peak;
     * ``groups`` joins the peaks' clusters that touch, which gives all records linked directly or indirectly.
@@ -66,7 +67,7 @@ class DensityPeaks:
     Equal density is ordered by block number.  An empty table gives empty results; further columns play no part.
     """
 
-    def __init__(self, records: DataFrame, record: str, fields: list[str]):
+    def __init__(self, records: DataFrame, record: str, fields: list[str], diagonal: bool = False):
         if not 1 <= len(fields) <= 6:
             raise ValueError("from one to six fields")  # a block has 3 ** fields - 1 neighbours
         self.scratch, self.fields, self.record = Scratch(records.sparkSession), fields, record
@@ -82,7 +83,7 @@ class DensityPeaks:
         bounds = [f(x).alias(f"{n}{x}") for x in self.axes for n, f in (("lo_", F.min), ("hi_", F.max))]
         self.blocks = self.scratch.save(self.records.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), *bounds))
         self._link()
-        self._label()
+        self._label(diagonal)
 
     def _adjacent(self) -> DataFrame:
         """Pairs of occupied adjacent blocks, each once, with the steps of the second from the first."""
@@ -112,8 +113,22 @@ class DensityPeaks:
         near = reached.groupBy("block").agg(F.sum("w").alias("w"))
         self.density = self.scratch.save(self.blocks.select("block", "n", "least").join(near, "block", "left").select("block", "n", "least", (F.col("n") + F.coalesce("w", F.lit(0.0))).alias("density")))
 
-    def _label(self) -> None:
+    def _diagonal(self, sure: DataFrame) -> DataFrame:
+        """Similar pairs of blocks that differ in more fields, where the less dense one has no denser block among ``sure``."""
+        rank = self.density.select("block", F.struct("density", "block").alias("rank"))
+
+        def ranked(pairs: DataFrame) -> DataFrame:
+            both = pairs.join(rank.toDF("a", "rank_a"), "a").join(rank.toDF("b", "rank_b"), "b")
+            return both.withColumn("low", F.when(F.col("rank_a") < F.col("rank_b"), F.col("a")).otherwise(F.col("b")))
+
+        alone = ranked(self.pairs.where("possible and steps > 1")).join(ranked(sure).select("low").distinct(), "low", "left_anti")
+        open_pairs = self.scratch.save(alone.select("a", "b", "s", "steps", F.col("a").alias("lo"), F.col("b").alias("hi"), "n_a", "n_b", F.monotonically_increasing_id().alias("pair")))
+        return self._decided(open_pairs).select("pair").join(open_pairs, "pair").select("a", "b", "steps")
+
+    def _label(self, diagonal: bool) -> None:
         sure = self.pairs.where("possible and steps = 1").select("a", "b", "steps")
+        if diagonal:
+            sure = self.scratch.save(sure.unionByName(self._diagonal(sure)))
         both = sure.unionByName(sure.select(F.col("b").alias("a"), F.col("a").alias("b"), "steps"))
         rank = self.density.select(F.col("block").alias("a"), F.struct("density", "block").alias("rank"))
         other = self.density.select(F.col("block").alias("b"), F.struct("density", "block").alias("other"))
@@ -201,10 +216,11 @@ class DensityPeaks:
         return skew_join(self.records, labels, "block", hot_keys(self.records, "block"))
 
     def typical(self, labels: DataFrame, label: str, most: int) -> DataFrame:
-        """(label, typical): the ``most`` ids of the group's densest block nearest to that block's mean, by the logarithm."""
+        """(label, typical): the ``most`` ids of the group nearest to the mean of its densest block, by the logarithm."""
         densest = labels.groupBy(label).agg(F.max(F.struct("density", "block")).alias("d")).select(label, F.col("d.block").alias("block"))
-        inside = self.members(densest).select("id", label, *(F.log2(F.col(x) + F.lit(1.0)).alias(x) for x in self.axes))
-        means = inside.groupBy(label).agg(*(F.avg(x).alias(f"m_{x}") for x in self.axes))
+        logs = [F.log2(F.col(x) + F.lit(1.0)).alias(x) for x in self.axes]
+        means = self.members(densest).select(label, *logs).groupBy(label).agg(*(F.avg(x).alias(f"m_{x}") for x in self.axes))
+        inside = self.members(labels.select("block", label)).select("id", label, *logs)
         apart = sum((F.abs(F.col(x) - F.col(f"m_{x}")) for x in self.axes[1:]), F.abs(F.col("x0") - F.col("m_x0")))
         near = skew_join(inside, means, label, hot_keys(inside, label)).select(label, "id", apart.alias("apart"))
         # Spark keeps the first rows of each task before it shuffles, so a large block isn't sorted in one task
@@ -221,10 +237,18 @@ def similarity_groups(records: DataFrame, record: str, fields: list[str]) -> Dat
 
 def peak_clusters(records: DataFrame, record: str, fields: list[str], most: int = 3) -> DataFrame:
     """One row per density peak: its cluster's smallest record id, size, density and ``most`` typical members."""
-    peaks = DensityPeaks(records, record, fields)
+    peaks = DensityPeaks(records, record, fields, diagonal=True)
     labels = peaks.clusters()
     sizes = labels.groupBy("peak").agg(F.min("least").alias("cluster_id"), F.sum("n").alias("size"), F.max("density").alias("density"))
     return sizes.join(peaks.typical(labels, "peak", most), "peak", "left").drop("peak")
 
 
-__all__ = ["DensityPeaks", "peak_clusters", "similarity_groups"]
+def group_profiles(records: DataFrame, record: str, fields: list[str], most: int = 3) -> DataFrame:
+    """(group_id, size, typical): size and ``most`` typical members of each group of ``similarity_groups``."""
+    peaks = DensityPeaks(records, record, fields)
+    labels = peaks.groups().where("size > 1")
+    sizes = labels.select("group", "size").distinct()
+    return sizes.join(peaks.typical(labels, "group", most), "group").withColumnRenamed("group", "group_id")
+
+
+__all__ = ["DensityPeaks", "group_profiles", "peak_clusters", "similarity_groups"]

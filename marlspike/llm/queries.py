@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlspike.llm.components import components
 from marlspike.llm.cooccurrence import together
-from marlspike.llm.density import peak_clusters, similarity_groups
+from marlspike.llm.density import group_profiles, peak_clusters, similarity_groups
 from marlspike.llm.markup.pages import page_elements, page_texts
 from marlspike.llm.mixing import Mix
 from marlspike.llm.packing import pack, split_items
@@ -69,6 +69,11 @@ def p7_clusters(spark: SparkSession, directory: str) -> DataFrame:
     return peak_clusters(read(spark, directory, "kddcup"), "conn_id", FIELDS)
 
 
+def p7_groups(spark: SparkSession, directory: str) -> DataFrame:
+    """Size and typical members of each group of p7_found."""
+    return group_profiles(read(spark, directory, "kddcup"), "conn_id", FIELDS)
+
+
 def _packed(spark: SparkSession, directory: str) -> tuple[DataFrame, int]:
     capacity = read(spark, directory, "containers").agg(F.max("capacity_tokens")).first()[0]
     return pack(token_sizes(read(spark, directory, "documents"), "doc_id", "text"), "doc_id", "n_tokens", capacity), capacity
@@ -122,7 +127,7 @@ def p10_profile(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_texts, p3_found, p3_group_sizes, p4_found, p4_pairs, p6_found, p6_relevance, p7_found, p7_clusters, p8_found, p8_packed, p8_fill, p9_found, p9_report, p9_mixed, p10_found, p10_profile)}
+    return {f.__name__: f for f in (p2_found, p2_texts, p3_found, p3_group_sizes, p4_found, p4_pairs, p6_found, p6_relevance, p7_found, p7_clusters, p7_groups, p8_found, p8_packed, p8_fill, p9_found, p9_report, p9_mixed, p10_found, p10_profile)}
 
 
 _GROUPS = """
