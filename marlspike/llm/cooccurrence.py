@@ -1,4 +1,4 @@
-"""Items that appear together, by stripes, and how far beyond chance."""
+"""Items that appear together, counted by pair and stored as stripes, and how far beyond chance."""
 
 from __future__ import annotations
 
@@ -34,9 +34,9 @@ def together(items: DataFrame, pairs: DataFrame, record: str, item: str, pair: s
     spelling count once a record.  ``n`` counts the records with both, ``n_a`` and ``n_b`` those with each, ``total`` those
     with any item; ``lift`` is n * total / (n_a * n_b) and ``llr`` the log-likelihood ratio.
 
-    Stripes: counts of neighbours are added up by item on the map side, then each item's neighbours become associative
-    arrays of some STRIPE_NEIGHBOURS entries, the shares of one item split by a hash of the neighbour, so that an item that
-    is in a third of all records has many stripes rather than one task.  An item's own count is joined once a stripe, the
+    Counts come from a group by pair, added up on the map side; stripes are only the form in which the finished counts are
+    stored: each item's neighbours become associative arrays of some STRIPE_NEIGHBOURS entries, the shares of one item split
+    by a hash of the neighbour, so that an item that is in a third of all records has many stripes rather than one task.  An item's own count is joined once a stripe, the
     neighbours' when the stripe is opened; items with a large part of the rows are met by a broadcast (``skew_join``).
     Pairs are never made from a record's items here; they are read.
 
