@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,16 +124,16 @@ def clustering_coefficient(links: DataFrame, vertex_ids: DataFrame) -> DataFrame
     return everyone.join(F.broadcast(parts), F.lit(True)).select((F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("coefficient"))
 
 
-def path_lengths(links: DataFrame, landmarks: DataFrame, most: int = 100) -> DataFrame:
+def path_lengths(links: DataFrame, landmarks: DataFrame) -> DataFrame:
     """(landmark, id, dist): edges on the shortest way from each landmark to every vertex it reaches, itself included.
 
-    A round takes one step from the vertices reached last; ends when none is new, or after ``most`` steps.
+    A round takes one step from the vertices reached last; ends when none is new.
     """
     scratch = Scratch(links.sparkSession)
     ways = scratch.save(_both_ways(links).where("src != dst").distinct())
     reached = [scratch.save(landmarks.select(F.col("id").alias("landmark"), "id").distinct().withColumn("dist", F.lit(0)))]
     before, front = None, reached[0]
-    for step in range(1, most + 1):
+    for step in itertools.count(1):
         following = front.select("landmark", F.col("id").alias("src"))
         met = ways.join(following, "src")  # an inner join: AQE splits a crowded vertex's edges
         new = met.select("landmark", F.col("dst").alias("id")).distinct().join(front.select("landmark", "id"), ["landmark", "id"], "left_anti")
