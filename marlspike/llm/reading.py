@@ -13,7 +13,7 @@ from marlspike.scratch import Scratch
 GRADES = (2, 5, 8, 12, 16, 20)
 #: Texts the models are fitted on, about; they are the same share of all texts by a hash of the id, or all if fewer.
 SEED_TEXTS = 50_000
-#: Most frequent words of those texts that the models know (a row of some 80 bytes each); others have the unknown word's weight.
+#: Most frequent words of those texts that the models know (a row of some 80 bytes each); others weigh the same in each level.
 VOCABULARY = 100_000
 #: Added to each count.
 SMOOTHING = 0.1
@@ -44,7 +44,7 @@ def reading_levels(texts: DataFrame, text_id: str, text: str, least_words: int =
     """(text id, level) of each text of at least ``least_words`` words; ``level`` counts the GRADES reached, from 0.
 
     A sample of the texts is given levels by the formula, and a smoothed unigram language model is fitted to each level:
-    the logarithms of the level's share and of each word's share in it.  Every text, whole, gets the level of greatest
+    the logarithms of the level's share and of each known word's share in it; other words say nothing of the level.  Every text, whole, gets the level of greatest
     posterior probability: its words are joined with the models and their weights added up by text, on the map side first.
 
     The models have at most VOCABULARY rows and are broadcast; fitting reads about SEED_TEXTS texts; both are bounds of the
@@ -66,11 +66,10 @@ def reading_levels(texts: DataFrame, text_id: str, text: str, least_words: int =
     counts = leveled.select("level", F.explode("words").alias("word")).groupBy("word").agg(*(F.count_if(F.col("level") == k).alias(f"c{k}") for k in used), F.count(F.lit(1)).alias("n"))
     known = scratch.save(counts.orderBy(F.desc("n"), "word").limit(VOCABULARY))
     sums = known.agg(F.count(F.lit(1)).alias("words"), *(F.sum(f"c{k}").alias(f"c{k}") for k in used)).first()
-    below = {k: sums[f"c{k}"] + SMOOTHING * (sums["words"] + 1) for k in used}
+    below = {k: sums[f"c{k}"] + SMOOTHING * sums["words"] for k in used}
     model = known.select("word", *(F.log((F.col(f"c{k}") + SMOOTHING) / below[k]).alias(f"w{k}") for k in used))
-    unknown = {k: math.log(SMOOTHING / below[k]) for k in used}
     met = usable.select("id", F.explode("words").alias("word")).join(F.broadcast(model), "word", "left")
-    scores = met.groupBy("id").agg(*(F.sum(F.coalesce(f"w{k}", F.lit(unknown[k]))).alias(f"s{k}") for k in used))
+    scores = met.groupBy("id").agg(*(F.sum(F.coalesce(f"w{k}", F.lit(0.0))).alias(f"s{k}") for k in used))
     whole = sum(priors.values())
     ranked = [F.struct((F.col(f"s{k}") + math.log(priors[k] / whole)).alias("s"), F.lit(-k).alias("k")) for k in used]
     best = F.greatest(*ranked) if len(ranked) > 1 else ranked[0]
