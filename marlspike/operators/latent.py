@@ -6,11 +6,12 @@ greatest size positive.  The factor of the documents stays distributed; that of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.linalg.distributed import IndexedRowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
@@ -85,18 +86,25 @@ def decompose(matrix: DataFrame, doc_id: str, vector: str, vocabulary: list[str]
     """The decomposition of the matrix whose rows are the vectors; ids are integers.
 
     ``k`` is bounded by the numbers of documents and terms; a matrix of lower rank has fewer concepts still.  Lanczos rounds
-    read the rows over and over, so these stay in the JVM and are kept there until the factors are known.
+    read the rows over and over, so these stay in the JVM and are kept there until the terms' factor is known.  That factor
+    has a row per term of the vocabulary, so its size is bounded; documents are projected onto it in Arrow batches.
     """
     rows = matrix.select(F.col(doc_id).cast("long").alias("index"), F.col(vector).alias("vector"))
-    rows = MLUtils.convertVectorColumnsFromML(rows, "vector")
-    held = IndexedRowMatrix(rows)
+    held = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(rows, "vector"))
     kept = held._java_matrix_wrapper._java_model.rows().persist(matrix.sparkSession.sparkContext._getJavaStorageLevel(StorageLevel.MEMORY_AND_DISK))
     k = min(k, kept.count(), len(vocabulary))
-    svd = held.computeSVD(k, computeU=True)
-    local = svd.V.toArray()
+    svd = held.computeSVD(k, computeU=False)
+    kept.unpersist(False)
+    local, strengths = svd.V.toArray(), svd.s.toArray()
     sign = np.sign(local[np.abs(local).argmax(axis=0), np.arange(local.shape[1])])
     sign[sign == 0] = 1
-    turn = F.array(*map(F.lit, map(float, sign)))
-    left = svd.U.rows.map(lambda r: (int(r.index), r.vector.asML())).toDF(["doc_id", "v"])
-    documents = left.select("doc_id", F.zip_with(vector_to_array("v"), turn, lambda x, y: x * y).alias("u"))
-    return Decomposition(documents, local * sign, svd.s.toArray(), vocabulary, np.asarray(idf))
+    terms = local * sign
+    onto = terms / strengths
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            places = [np.arange(len(v)) if i is None else i for i, v in zip(batch["indices"], batch["values"], strict=True)]
+            yield pd.DataFrame({"doc_id": batch["index"], "u": [np.asarray(v, dtype=float) @ onto[np.asarray(i, dtype=int)] for i, v in zip(places, batch["values"], strict=True)]})
+
+    parts = rows.withColumn("v", F.unwrap_udt("vector")).select("index", "v.indices", "v.values")
+    return Decomposition(parts.mapInPandas(project, "doc_id long, u array<double>"), terms, strengths, vocabulary, np.asarray(idf))

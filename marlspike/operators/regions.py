@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlspike.scratch import Scratch
+
 BIN = 1_000_000
 
 
@@ -15,8 +17,11 @@ def overlaps(left: DataFrame, right: DataFrame, how: str = "inner", bin_size: in
 
     Both sides are cut into bins and joined by key and bin; a pair is kept in the bin where the later of the two starts
     lies, so it comes once.  With ``how='left'`` regions without an overlap stay, with nulls.  Empty regions overlap nothing.
+
+    For ``how='left'`` the left side is written with its row numbers first: numbers given anew in each branch of a plan
+    need not agree, as the branches may be partitioned differently.
     """
-    a = left.withColumn("_row", F.monotonically_increasing_id()) if how == "left" else left
+    a = Scratch(left.sparkSession).save(left.withColumn("_row", F.monotonically_increasing_id())) if how == "left" else left
     b = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
 
     def bins(df: DataFrame, s: str, e: str, name: str) -> DataFrame:
@@ -34,23 +39,24 @@ def overlaps(left: DataFrame, right: DataFrame, how: str = "inner", bin_size: in
 def nearest(points: DataFrame, sites: DataFrame, key: str, at: str, site: str, out: str = "distance") -> DataFrame:
     """``points`` with the distance to the nearest site of the same key, null if the key has none.
 
-    Points and sites are one sequence by position: the last site before and the first after it, in chunks no window of
-    which holds all of a key: a chunk's own sites, and the last and first ones of the chunks around it.
+    Distinct positions and sites are one sequence: the last site before and the first after each, in chunks no window of
+    which holds all of a key: a chunk's own sites, and the last and first ones of the chunks around it.  Points meet the
+    distances by key and position, so they need no row numbers; points without a key or position have none.
     """
     width = 1 << 20
-    p = points.withColumns({"_key": F.col(key), "_at": F.col(at).cast("long"), "_row": F.monotonically_increasing_id()})
-    s = sites.select(F.col(key).alias("_key"), F.col(site).cast("long").alias("_site")).where("_key is not null and _site is not null").distinct()
-    chunk = F.floor(F.col("_at") / width).alias("_chunk")
-    both = p.select("_key", "_at", "_row", F.lit(None).cast("long").alias("_site")).unionByName(s.select("_key", F.col("_site").alias("_at"), F.lit(None).cast("long").alias("_row"), "_site")).select("*", chunk)
+    p = points.withColumns({"_key": F.col(key), "_at": F.col(at).cast("long")})
+    s = sites.select(F.col(key).alias("_key"), F.col(site).cast("long").alias("_at"), F.lit(True).alias("_is_site"))
+    both = p.select("_key", "_at", F.lit(False).alias("_is_site")).unionByName(s).where("_key is not null and _at is not null").distinct()
+    both = both.select("_key", "_at", "_is_site", F.when(F.col("_is_site"), F.col("_at")).alias("_site"), F.floor(F.col("_at") / width).alias("_chunk"))
     ends = both.groupBy("_key", "_chunk").agg(F.min("_site").alias("_lo"), F.max("_site").alias("_hi"))
     order = Window.partitionBy("_key").orderBy("_chunk")
     around = ends.select("_key", "_chunk", F.last("_hi", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_left"), F.first("_lo", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_right"))
     inner = Window.partitionBy("_key", "_chunk").orderBy("_at")
     before = F.last("_site", ignorenulls=True).over(inner.rangeBetween(Window.unboundedPreceding, 0))
     after = F.first("_site", ignorenulls=True).over(inner.rangeBetween(0, Window.unboundedFollowing))
-    found = both.withColumns({"_b": before, "_a": after}).where("_row is not null").join(around, ["_key", "_chunk"])
+    found = both.withColumns({"_b": before, "_a": after}).where(~F.col("_is_site")).join(around, ["_key", "_chunk"])
     apart = F.least(F.col("_at") - F.coalesce("_b", "_left"), F.coalesce("_a", "_right") - F.col("_at"))
-    return p.join(found.select("_row", apart.alias(out)), "_row", "left").drop("_row", "_key", "_at")
+    return p.join(found.select("_key", "_at", apart.alias(out)), ["_key", "_at"], "left").select(*points.columns, out)
 
 
 def reverse_complement(sequence: Column) -> Column:

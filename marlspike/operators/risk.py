@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.mllib.stat import KernelDensity
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,22 +102,51 @@ def trial_returns(spark, weights: np.ndarray, means: np.ndarray, covariance: np.
     return spark.range(seed, seed + tasks, 1, tasks).mapInPandas(simulate, "value double")
 
 
-def value_at_risk(returns: DataFrame, value: str = "value", share: float = 0.05) -> float:
-    """The exact quantile: a value of the data, not between two."""
-    return returns.approxQuantile(value, [share], 0.0)[0]
+#: Equal intervals that one pass counts, and the rows that are few enough to be sorted in one task.
+BINS = 4096
+FEW_ROWS = 100_000
 
 
-def tail_mean(returns: DataFrame, value: str = "value", share: float = 0.05) -> DataFrame:
-    """(tail): the mean of the smallest n * share values, of one at least.
+def smallest(df: DataFrame, value: str, rank: Callable[[int], int]) -> tuple[float, int, float, int] | None:
+    """The k-th smallest of n values for k = rank(n), the number of values below it, their sum, and k; null and NaN are no values.
 
-    The value at that rank is found by ``approxQuantile`` with a bounded error first, so that only rows up to a little
-    above it are sorted.
+    Each pass counts the values of BINS intervals between bounds, on the map side, and goes on in the interval that holds
+    the rank, whose least and greatest value are the next bounds; at most BINS rows come to the driver.  The few values
+    left at the end are sorted.  Nothing else is, and no task holds a share of all rows.
     """
-    n = returns.where(F.col(value).isNotNull()).count()
-    k = max(int(n * share), 1)
-    limit = returns.approxQuantile(value, [min(1.0, (k + 1) / max(n, 1) + 0.01)], 0.005)
-    low = returns.where(F.col(value) <= limit[0]) if limit else returns
-    return low.select(value).orderBy(value).limit(k).agg(F.avg(value).alias("tail"))
+    v = F.col(value).cast("double")
+    rows = df.select(v.alias("v")).where("v is not null and not isnan(v)")
+    low, high, n = rows.agg(F.min("v"), F.max("v"), F.count(F.lit(1))).first()
+    if not n:
+        return None
+    k, below, total = min(max(rank(n), 1), n), 0, 0.0
+    while low < high and n > FEW_ROWS:
+        inside = rows.where(F.col("v").between(F.lit(low), F.lit(high)))
+        place = (F.col("v") / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
+        bins = inside.groupBy(F.least(F.floor(place * BINS), F.lit(BINS - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        for row in sorted(bins.collect()):
+            if below + row["n"] >= k:
+                low, high, n = row["lo"], row["hi"], row["n"]
+                break
+            below, total = below + row["n"], total + row["s"]
+    if low < high:
+        left = np.sort(rows.where(F.col("v").between(F.lit(low), F.lit(high))).toPandas()["v"].to_numpy())
+        low = float(left[k - below - 1])
+        total, below = total + float(left[left < low].sum()), below + int((left < low).sum())
+    return low, below, total, k
+
+
+def value_at_risk(returns: DataFrame, value: str = "value", share: float = 0.05) -> float | None:
+    """The exact quantile: a value of the data, not between two; None without rows."""
+    found = smallest(returns, value, lambda n: math.ceil(n * share))
+    return found and found[0]
+
+
+def tail_mean(returns: DataFrame, value: str = "value", share: float = 0.05) -> DataFrame:
+    """(tail): the mean of the smallest n * share values, of one at least; of equal values at the end, so many as count."""
+    found = smallest(returns, value, lambda n: int(n * share))
+    tail = (found[2] + (found[3] - found[1]) * found[0]) / found[3] if found else None
+    return returns.sparkSession.createDataFrame([(tail,)], "tail double")
 
 
 def bootstrap_interval(trials: DataFrame, statistic: Callable[[DataFrame], float], resamples: int = 100, p: float = 0.05, seed: int = 1) -> tuple[float, float]:
@@ -155,12 +183,22 @@ def kupiec_p(total: int, failed: int, confidence: float) -> float:
 
 
 def density(df: DataFrame, value: str, steps: int = 100) -> DataFrame:
-    """(x, density): a Gaussian kernel estimate at ``steps`` points from the least to the greatest value."""
-    row = df.agg(F.min(value), F.max(value), F.count(value), F.stddev_pop(value)).first()
-    low, high, n, deviation = row
-    width = 1.06 * deviation * n**-0.2
-    at = [low + (high - low) * i / steps for i in range(steps)]
-    estimate = KernelDensity()
-    estimate.setBandwidth(width or 1e-9)
-    estimate.setSample(df.select(F.col(value).cast("double")).where(F.col(value).isNotNull()).rdd.map(lambda r: r[0]))
-    return df.sparkSession.createDataFrame([(x, float(d)) for x, d in zip(at, estimate.estimate(at), strict=True)], "x double, density double")
+    """(x, density): a Gaussian kernel estimate at ``steps`` points from the least to the greatest value; none without values.
+
+    Each task adds up the kernels of its rows at every point, in Arrow batches, and sends one row a point.
+    """
+    rows = df.select(F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    low, high, n, deviation = rows.agg(F.min("v"), F.max("v"), F.count("v"), F.stddev_pop("v")).first()
+    if not n:
+        return df.sparkSession.createDataFrame([], "x double, density double")
+    width = 1.06 * deviation * n**-0.2 or 1e-9
+    at = np.array([low + (high - low) * i / steps for i in range(steps)])
+
+    def kernels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = np.zeros(len(at))
+        for batch in batches:
+            whole += np.exp(-0.5 * ((batch["v"].to_numpy()[:, None] - at) / width) ** 2).sum(axis=0)
+        yield pd.DataFrame({"place": np.arange(len(at)), "x": at, "part": whole})
+
+    parts = rows.mapInPandas(kernels, "place int, x double, part double").groupBy("place", "x").agg(F.sum("part").alias("part"))
+    return parts.orderBy("place").select("x", (F.col("part") / (n * width * math.sqrt(2 * math.pi))).alias("density"))

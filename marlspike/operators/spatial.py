@@ -24,7 +24,7 @@ def haversine(x1: Column, y1: Column, x2: Column, y2: Column, radius: float = EA
     return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
-def locate(points: DataFrame, features: DataFrame, point_id: str, x: str, y: str, feature_id: str, geometry: str, near_m: float, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def locate(points: DataFrame, features: DataFrame, point_id: str, x: str, y: str, feature_id: str, geometry: str, near_m: float, broadcast_rows: int = BROADCAST_ROWS, unique: bool = False) -> DataFrame:
     """(point id, feature id) for each point inside an areal feature or at most ``near_m`` metres from a point feature.
 
     Crossing parity as a join: the edges of all rings are binned into latitude strips, a point meets only the edges in its
@@ -36,7 +36,8 @@ def locate(points: DataFrame, features: DataFrame, point_id: str, x: str, y: str
     Strips are half the mean height of an edge, so an edge has three rows on average whatever the regions' size.  Points
     are shuffled once, by their id; repeated rows are dropped there, and both counts need no further shuffle while the
     strips' rows, counted first, are at most ``broadcast_rows``.  More of them are shuffled by strip, with the points of
-    a strip in SALTS shares, so that a crowded strip is no single task.
+    a strip in SALTS shares, so that a crowded strip is no single task.  With ``unique`` the caller knows that no point id
+    comes twice, and points stay where they are: if they are partitioned by id already, nothing but strips is shuffled.
 
     Points without id or coordinate (null or NaN) and features without id are left out; broken, empty and missing
     geometries contain nothing.  A latitude beyond 90 degrees is no place on the globe, so near to nothing.  The same
@@ -44,8 +45,7 @@ def locate(points: DataFrame, features: DataFrame, point_id: str, x: str, y: str
     """
     scratch = Scratch(points.sparkSession)
     given = features.select(F.col(feature_id).cast("long").alias("feature_id"), F.col(geometry).alias("geometry")).where("feature_id is not null and geometry is not null").distinct()
-    parts = given.withColumn("same", F.xxhash64("geometry")).groupBy("feature_id", "same").agg(F.first("geometry").alias("geometry"))
-    shape = scratch.save(parts.select("feature_id", "geometry").mapInPandas(pieces, PIECES))
+    shape = scratch.save(given.mapInPandas(pieces, PIECES))
     extent = shape.agg(F.avg(F.when(F.col("kind") == "area", F.abs(F.col("y2") - F.col("y1")))).alias("mean"), F.count(F.lit(1)).alias("n")).first()
     reach = math.degrees(near_m / EARTH_M) * (1 + 1e-9)
     height = max((extent["mean"] or 0) / 2, reach / 4, 1e-7)
@@ -60,7 +60,7 @@ def locate(points: DataFrame, features: DataFrame, point_id: str, x: str, y: str
 
     ok = F.col("_id").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y") & F.col("_x").isNotNull() & F.col("_y").isNotNull()
     places = points.select(F.col(point_id).alias("_id"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where(ok)
-    places = places.repartition("_id").dropDuplicates().withColumn("strip", F.floor(F.col("_y") / height))
+    places = (places if unique else places.repartition("_id").dropDuplicates()).withColumn("strip", F.floor(F.col("_y") / height))
 
     px, py = F.col("_x"), F.col("_y")
     spans = (F.col("y1") > py) != (F.col("y2") > py)

@@ -8,6 +8,8 @@ from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlspike.scratch import Scratch
+
 REDIRECT = r"(?i)^\s*#redirect\b"
 DISAMBIGUATION = "(disambiguation)"
 
@@ -71,7 +73,7 @@ def inverse_frequencies(frequencies: DataFrame, documents: int) -> DataFrame:
 def term_matrix(documents: DataFrame, term_list: str, vocabulary: int = 20_000):
     """(documents with counts and weights as vectors, the vocabulary, the idf vector)."""
     counted = CountVectorizer(inputCol=term_list, outputCol="term_freqs", vocabSize=vocabulary).fit(documents)
-    frequencies = counted.transform(documents).cache()
+    frequencies = Scratch(documents.sparkSession).save(counted.transform(documents))
     weighted = IDF(inputCol="term_freqs", outputCol="weights").fit(frequencies)
     result = weighted.transform(frequencies).drop("term_freqs")
     return result, counted.vocabulary, weighted.idf.toArray()

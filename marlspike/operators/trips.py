@@ -47,12 +47,15 @@ def duration_histogram(trips: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def first_zone(points: DataFrame, zones: DataFrame, point_id: str, x: str, y: str, order: list[Column], name: str, missing: str = "NA") -> DataFrame:
-    """(point id, name) of the first zone, in the order of the zones' columns ``order``, that holds the point, or ``missing``."""
+    """``points`` with ``name`` of the first zone, in the order of the zones' columns ``order``, that holds each, or ``missing``.
+
+    A point id comes once in ``points``.  Points that are partitioned by it aren't shuffled again.
+    """
     ranked = zones.select("feature_id", "geometry", F.col(name).alias("_name"), *(o.alias(f"_o{i}") for i, o in enumerate(order)))
-    hits = locate(points, ranked, point_id, x, y, "feature_id", "geometry", near_m=0.0)
+    hits = locate(points, ranked, point_id, x, y, "feature_id", "geometry", near_m=0.0, unique=True)
     keys = ranked.select("feature_id", F.struct(*(f"_o{i}" for i in range(len(order))), "feature_id", "_name").alias("_key")).groupBy("feature_id").agg(F.min("_key").alias("_key"))
     first = hits.join(keys, "feature_id").groupBy(point_id).agg(F.min("_key").alias("_key"))
-    return points.select(point_id).distinct().join(first, point_id, "left").select(point_id, F.coalesce("_key._name", F.lit(missing)).alias(name))
+    return points.join(first, point_id, "left").withColumn(name, F.coalesce("_key._name", F.lit(missing))).drop("_key")
 
 
 def idle_gaps(events: DataFrame, key: str, start: str, end: str, label: str, unit: int = 1000) -> DataFrame:

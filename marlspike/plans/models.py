@@ -15,11 +15,22 @@ NUMBERS = ["duration", "src_bytes", "dst_bytes", "count", "srv_count", "serror_r
 CATEGORIES = ["protocol_type", "flag"]
 
 
+def _once(spark: SparkSession, directory: str, columns: list[str]) -> DataFrame:
+    """Each connection once: of rows with the same id, the least by ``columns``."""
+    rows = read(spark, directory, "kddcup").where("conn_id is not null").groupBy("conn_id").agg(F.min(F.struct(*columns)).alias("row"))
+    return rows.select("conn_id", "row.*")
+
+
 def _connections(spark: SparkSession, directory: str) -> DataFrame:
-    rows = read(spark, directory, "kddcup").dropDuplicates(["conn_id"]).dropna(subset=NUMBERS)
+    rows = _once(spark, directory, [*NUMBERS, *CATEGORIES, "label"]).dropna(subset=NUMBERS)
     for c in NUMBERS:
         rows = rows.where(F.col(c) >= 0)
-    return rows.select("conn_id", *NUMBERS, *(F.coalesce(lower_name(c), F.lit("unknown")).alias(c) for c in CATEGORIES), lower_name("label").alias("label"))
+    return Scratch(spark).save(rows.select("conn_id", *NUMBERS, *(F.coalesce(lower_name(c), F.lit("unknown")).alias(c) for c in CATEGORIES), lower_name("label").alias("label")))
+
+
+def _logins(spark: SparkSession, directory: str) -> DataFrame:
+    rows = _once(spark, directory, [*NUMBERS, "logged_in"]).withColumn("label", F.col("logged_in").cast("double")).drop("logged_in")
+    return Scratch(spark).save(rows.dropna().where("label in (0, 1)"))
 
 
 def als_topn(spark: SparkSession, directory: str) -> DataFrame:
@@ -38,7 +49,7 @@ def kmeans_sizes(spark: SparkSession, directory: str) -> DataFrame:
 
 def kmeans_entropy(spark: SparkSession, directory: str) -> DataFrame:
     """How mixed the labels are in those clusters, by the number of clusters."""
-    rows = Scratch(spark).save(_connections(spark, directory).where("label is not null"))
+    rows = _connections(spark, directory).where("label is not null")
     found = [cluster.label_entropy(cluster.clustering(rows, NUMBERS, k=k).transform(rows), "cluster", "label").withColumn("k", F.lit(k)) for k in (5, 20)]
     return found[0].unionByName(found[1])
 
@@ -58,14 +69,14 @@ def vector_projection(spark: SparkSession, directory: str) -> DataFrame:
 
 def forest_accuracy(spark: SparkSession, directory: str) -> DataFrame:
     """A forest that tells logged-in connections, on rows it hasn't seen."""
-    rows = read(spark, directory, "kddcup").dropDuplicates(["conn_id"]).select("conn_id", *NUMBERS, F.col("logged_in").cast("double").alias("label")).dropna().where("label in (0, 1)")
+    rows = _logins(spark, directory)
     train, test = rows.where("conn_id % 10 < 9").drop("conn_id"), rows.where("conn_id % 10 >= 9").drop("conn_id")
     model = classify.tuned_forest(train, "label", gains=(0.0,), trees=(5,), depth=8, bins=64)
     return classify.scores(model.transform(test), "label", "prediction")
 
 
 def tree_importances(spark: SparkSession, directory: str) -> DataFrame:
-    rows = read(spark, directory, "kddcup").dropDuplicates(["conn_id"]).select(*NUMBERS, F.col("logged_in").cast("double").alias("label")).dropna().where("label in (0, 1)")
+    rows = _logins(spark, directory).drop("conn_id")
     return spark.createDataFrame([(name, weight) for weight, name in classify.importances(classify.tree(rows, "label"))], "column string, importance double")
 
 

@@ -47,13 +47,12 @@ def duration_hist(spark: SparkSession, directory: str) -> DataFrame:
 
 def _placed(spark: SparkSession, directory: str) -> DataFrame:
     """Usable rides, each once, with the first zone of the dropoff: the least borough code, then the largest area."""
-    rides = usable_rides(read(spark, directory, "trips").drop("loaded_at")).dropDuplicates()
+    rides = usable_rides(read(spark, directory, "trips").drop("loaded_at")).repartition("trip_id").dropDuplicates()
     zones = read(spark, directory, "features").where("geometry is not null and boroughcode is not null").withColumn("borough", lower_name("borough"))
     zones = zones.withColumn("area", rough_area("geometry"))
     # areal geometries only: a point holds nothing, unless a dropoff is the very point
     areal = zones.where(F.get_json_object("geometry", "$.type") != "Point")
-    zone = trips.first_zone(rides, areal, "trip_id", "dropoffx", "dropoffy", [F.col("boroughcode"), -F.col("area")], "borough")
-    return rides.join(zone, "trip_id")
+    return trips.first_zone(rides, areal, "trip_id", "dropoffx", "dropoffy", [F.col("boroughcode"), -F.col("area")], "borough")
 
 
 def zone_lookup(spark: SparkSession, directory: str) -> DataFrame:

@@ -32,7 +32,7 @@ def alias_canonical_counts(spark: SparkSession, directory: str) -> DataFrame:
 def popularity_lookup(spark: SparkSession, directory: str) -> DataFrame:
     """Each customer's suppliers with their popularity."""
     bought = Scratch(spark).save(_bought(spark, directory))
-    return ranking.popularity(bought, "user", "item", "n", bought)
+    return ranking.popularity(bought, "user", "item", "n", bought.select("user", "item"))
 
 
 def negative_items(spark: SparkSession, directory: str) -> DataFrame:

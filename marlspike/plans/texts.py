@@ -55,7 +55,8 @@ def tfidf_weights(spark: SparkSession, directory: str) -> DataFrame:
 def _latent(spark: SparkSession, directory: str) -> latent.Decomposition:
     """100 concepts of the 20,000 most frequent terms (the operators' defaults); spellings of a term count as one."""
     pages = read(spark, directory, "doctermmatrix").select("page_id", F.filter(F.transform("terms", lower_name), lambda t: t.isNotNull()).alias("terms"))
-    matrix, names, idf = text.term_matrix(pages.where(F.size("terms") > 1).dropDuplicates(["page_id"]), "terms")
+    longest = pages.where(F.size("terms") > 1).groupBy("page_id").agg(F.max(F.struct(F.size("terms").alias("n"), "terms")).alias("row"))
+    matrix, names, idf = text.term_matrix(longest.select("page_id", "row.terms"), "terms")
     return latent.decompose(matrix, "page_id", "weights", names, idf)
 
 

@@ -36,7 +36,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/marlspike/{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        self._paths: list[tuple[DataFrame, str]] = []  # the tables themselves, so that no other can take one's identity
         atexit.register(self.close)
 
     def save(self, df: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ class Scratch:
         path = f"{self.root}/{self._n:04d}"
         df.write.parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(saved)] = path
+        self._paths.append((saved, path))
         return saved
 
     def save_observed(self, df: DataFrame, *observed: Column) -> tuple[DataFrame, dict]:
@@ -56,11 +56,21 @@ class Scratch:
     def drop(self, *saved: DataFrame) -> None:
         """Deletes tables that ``save`` returned; nothing may still have to be computed from them."""
         for df in saved:
-            path = self._paths.pop(id(df), None)
-            if path:
-                self._delete(path)
+            for at, (kept, path) in enumerate(self._paths):
+                if kept is df:
+                    del self._paths[at]
+                    self._delete(path)
+                    break
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def close(self) -> None:
+        """Deletes all tables; for callers that have used the operator's result.  Otherwise the end of the process does it."""
+        atexit.unregister(self.close)
         try:
             self._delete(self.root)
         except Exception:  # the JVM may be gone at exit

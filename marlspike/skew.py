@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 256
 #: ... and above so many rows; fewer are no burden to the task that gets them.
 HOT_ROWS = 20_000
+#: Rows of a counted table that are broadcast at most, some 100 bytes each.
+BROADCAST_ROWS = 400_000
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, total: int | None = None, least: int = HOT_ROWS) -> list:
@@ -35,6 +37,16 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, hot: list, how: str =
     return cold.unionByName(warm)
 
 
+def lookup(left: DataFrame, right: DataFrame, key: str, rows: int, most: int = BROADCAST_ROWS, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has ``rows`` rows (counted before), at most one a key.
+
+    Up to ``most`` rows are broadcast and ``left`` stays where it is; more of them meet it by ``skew_join``.
+    """
+    if rows <= most:
+        return left.join(F.broadcast(right), key, how)
+    return skew_join(left, right, key, hot_keys(left, key), how)
+
+
 def running_sum(df: DataFrame, keys: list[str], chunk: str, order: list[str], value: Column, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of ``keys`` before this one, in the order of chunk, then ``order``.
 
