@@ -23,10 +23,19 @@ def canonical(counts: DataFrame, column: str, aliases: DataFrame, alias: str, ta
     return joined.withColumn(column, F.coalesce("_target", column)).drop("_alias", "_target")
 
 
+def item_totals(train: DataFrame, item: str, count: str) -> DataFrame:
+    """(item, prediction): the total count of each item."""
+    return train.groupBy(item).agg(F.sum(count).alias("prediction"))
+
+
+def by_popularity(pairs: DataFrame, user: str, item: str, totals: DataFrame) -> DataFrame:
+    """(user, item, prediction) of pairs, by totals that are there already; items never seen have none."""
+    return pairs.select(user, item).join(totals, item, "left").select(user, item, "prediction")
+
+
 def popularity(train: DataFrame, user: str, item: str, count: str, pairs: DataFrame) -> DataFrame:
-    """``pairs`` with ``prediction``, the item's total count; items never seen have none."""
-    totals = train.groupBy(item).agg(F.sum(count).alias("prediction"))
-    return pairs.join(totals, item, "left").select(*pairs.columns, "prediction")
+    """(user, item, prediction): each pair with the item's total count; items never seen have none."""
+    return by_popularity(pairs, user, item, item_totals(train, item, count))
 
 
 def _hash(column: str) -> Column:
@@ -59,10 +68,10 @@ def negatives(positives: DataFrame, user: str, item: str, items: DataFrame) -> D
 def mean_auc(positives: DataFrame, negative: DataFrame, predict: Callable[[DataFrame], DataFrame], user: str) -> DataFrame:
     """(mean_auc): the mean over users of the share of pairs (positive, negative) in which the positive scores higher.
 
-    ``predict`` adds ``prediction`` to a table of pairs, once for both kinds, and keeps its other columns.  Ties and missing predictions count as wrong.  Pairs aren't made: per user and score, the negatives below a positive
+    ``predict`` makes (user, item, prediction) of pairs, for either kind.  Ties and missing predictions (null or NaN) count as wrong.  Pairs aren't made: per user and score, the negatives below a positive
     are counted by a running sum, which gives the same shares.
     """
-    scored = predict(positives.withColumn("_positive", F.lit(1)).unionByName(negative.withColumn("_positive", F.lit(0))))
+    scored = predict(positives).withColumn("_positive", F.lit(1)).unionByName(predict(negative).withColumn("_positive", F.lit(0)))
     scored = scored.withColumn("prediction", F.when(~F.isnan(F.col("prediction").cast("double")), F.col("prediction")))
     at = scored.groupBy(user, "prediction").agg(F.sum("_positive").alias("_p"), F.sum(1 - F.col("_positive")).alias("_n"))
     below = F.coalesce(F.sum(F.when(F.col("prediction").isNotNull(), F.col("_n"))).over(Window.partitionBy(user).orderBy("prediction").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -49,11 +49,11 @@ def nearest(points: DataFrame, sites: DataFrame, key: str, at: str, site: str, o
     both = p.select("_key", "_at", F.lit(False).alias("_is_site")).unionByName(s).where("_key is not null and _at is not null").distinct()
     both = both.select("_key", "_at", "_is_site", F.when(F.col("_is_site"), F.col("_at")).alias("_site"), F.floor(F.col("_at") / width).alias("_chunk"))
     ends = both.groupBy("_key", "_chunk").agg(F.min("_site").alias("_lo"), F.max("_site").alias("_hi"))
-    order = Window.partitionBy("_key").orderBy("_chunk")
-    around = ends.select("_key", "_chunk", F.last("_hi", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_left"), F.first("_lo", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_right"))
-    inner = Window.partitionBy("_key", "_chunk").orderBy("_at")
-    before = F.last("_site", ignorenulls=True).over(inner.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("_site", ignorenulls=True).over(inner.rangeBetween(0, Window.unboundedFollowing))
+    # what lies ahead is what came before in the reverse order: frames that only grow are worked through once
+    up, down = (Window.partitionBy("_key").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("_chunk"), F.desc("_chunk")))
+    around = ends.select("_key", "_chunk", F.last("_hi", ignorenulls=True).over(up).alias("_left"), F.last("_lo", ignorenulls=True).over(down).alias("_right"))
+    ahead, back = (Window.partitionBy("_key", "_chunk").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.col("_at"), F.desc("_at")))
+    before, after = F.last("_site", ignorenulls=True).over(ahead), F.last("_site", ignorenulls=True).over(back)
     found = both.withColumns({"_b": before, "_a": after}).where(~F.col("_is_site")).join(around, ["_key", "_chunk"])
     apart = F.least(F.col("_at") - F.coalesce("_b", "_left"), F.coalesce("_a", "_right") - F.col("_at"))
     return p.join(found.select("_key", "_at", apart.alias(out)), ["_key", "_at"], "left").select(*points.columns, out)

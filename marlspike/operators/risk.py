@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -27,7 +28,7 @@ def filled(prices: DataFrame, symbol: str, date: str, value: str, start: str, en
     marked = calendar.select(symbol, "date", F.lit(None).cast(prices.schema[value].dataType).alias(value), F.lit(1).alias("_wanted")).unionByName(inside.withColumn("_wanted", F.lit(0)))
     order = Window.partitionBy(symbol).orderBy("date", "_wanted")
     last = F.last(value, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first(value, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    first = F.first(value, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # of days before it
     return marked.withColumn("_filled", F.coalesce(last, first)).where("_wanted = 1").select(symbol, "date", F.col("_filled").alias(value))
 
 
@@ -107,12 +108,18 @@ BINS = 4096
 FEW_ROWS = 100_000
 
 
+def _signed_log(v: Column) -> Column:
+    """Grows with v; the offset keeps logarithms of the least doubles above 0."""
+    return F.signum(v) * F.coalesce(F.log2(F.abs(v)) + 1100, F.lit(0.0))
+
+
 def smallest(df: DataFrame, value: str, rank: Callable[[int], int]) -> tuple[float, int, float, int] | None:
     """The k-th smallest of n values for k = rank(n), the number of values below it, their sum, and k; null and NaN are no values.
 
     Each pass counts the values of BINS intervals between bounds, on the map side, and goes on in the interval that holds
-    the rank, whose least and greatest value are the next bounds; at most BINS rows come to the driver.  The few values
-    left at the end are sorted.  Nothing else is, and no task holds a share of all rows.
+    the rank, whose least and greatest value are the next bounds; at most BINS rows come to the driver.  Intervals are equal
+    by logarithm and by value in turns, so that a few passes do for any spread.  The few values left at the end are sorted;
+    nothing else is, and no task holds a share of all rows.
     """
     v = F.col(value).cast("double")
     rows = df.select(v.alias("v")).where("v is not null and not isnan(v)")
@@ -120,9 +127,12 @@ def smallest(df: DataFrame, value: str, rank: Callable[[int], int]) -> tuple[flo
     if not n:
         return None
     k, below, total = min(max(rank(n), 1), n), 0, 0.0
-    while low < high and n > FEW_ROWS:
+    for turn in itertools.count():
+        if low == high or n <= FEW_ROWS:
+            break
         inside = rows.where(F.col("v").between(F.lit(low), F.lit(high)))
-        place = (F.col("v") / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
+        at, start, end = (_signed_log(F.col("v")), _signed_log(F.lit(low)), _signed_log(F.lit(high))) if turn % 2 == 0 else (F.col("v") / 2, F.lit(low / 2), F.lit(high / 2))
+        place = F.coalesce(F.try_divide(at - start, end - start), F.lit(0.0))
         bins = inside.groupBy(F.least(F.floor(place * BINS), F.lit(BINS - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         for row in sorted(bins.collect()):
             if below + row["n"] >= k:

@@ -46,7 +46,8 @@ def mean_auc(spark: SparkSession, directory: str) -> DataFrame:
     bought = Scratch(spark).save(_bought(spark, directory))
     items = read(spark, directory, "supplier").select(F.col("s_suppkey").alias("item"))
     others = ranking.negatives(bought, "user", "item", items)
-    found = ranking.mean_auc(bought.select("user", "item"), others, lambda pairs: ranking.popularity(bought, "user", "item", "n", pairs), "user")
+    totals = Scratch(spark).save(ranking.item_totals(bought, "item", "n"))
+    found = ranking.mean_auc(bought, others, lambda pairs: ranking.by_popularity(pairs, "user", "item", totals), "user")
     return found.select(F.round("mean_auc", 6).alias("mean_auc"))
 
 
