@@ -1,16 +1,23 @@
-"""Items that appear together, counted by pair and stored as stripes, and how far beyond chance."""
+"""Items that appear together, counted in stripes, and how far beyond chance."""
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlspike.functions.names import lower_name
 from marlspike.scratch import Scratch
-from marlspike.skew import hot_keys, skew_join
+from marlspike.skew import lookup
 
 #: Neighbours of an item that one stripe holds, about; an item with more of them gets several stripes.
 STRIPE_NEIGHBOURS = 4096
+#: Neighbours that a task adds up before it sends its stripes on.
+HELD = 1_000_000
 
 
 def _x_log_x(n: Column) -> Column:
@@ -34,11 +41,13 @@ def together(items: DataFrame, pairs: DataFrame, record: str, item: str, pair: s
     spelling count once a record.  ``n`` counts the records with both, ``n_a`` and ``n_b`` those with each, ``total`` those
     with any item; ``lift`` is n * total / (n_a * n_b) and ``llr`` the log-likelihood ratio.
 
-    Counts come from a group by pair, added up on the map side; stripes are only the form in which the finished counts are
-    stored: each item's neighbours become associative arrays of some STRIPE_NEIGHBOURS entries, the shares of one item split
-    by a hash of the neighbour, so that an item that is in a third of all records has many stripes rather than one task.  An item's own count is joined once a stripe, the
-    neighbours' when the stripe is opened; items with a large part of the rows are met by a broadcast (``skew_join``).
-    Pairs are never made from a record's items here; they are read.
+    Method of stripes: the neighbours of an item in one record come together as an array; each task adds such arrays up to
+    one associative array an item, neighbour to count, and the tasks' arrays are merged by item.  An array has some
+    STRIPE_NEIGHBOURS entries: an item's shares are split by a hash of the neighbour, so that an item that is in a third of
+    all records has many stripes rather than one task, and a task sends its arrays on when it holds HELD entries.  That
+    makes two shuffles of stripes, by record and item, and by item and share, and none of pairs: an item's own count is
+    joined once a stripe, the neighbours' when the stripe is opened, from a broadcast while the items, counted before, are
+    few, by ``skew_join`` beyond.  Pairs are never made from a record's items here; they are read.
 
     Blank and missing names, pairs without two names and an item with itself give no row; rows without a record are left
     out.  Empty tables give an empty result.
@@ -46,25 +55,100 @@ def together(items: DataFrame, pairs: DataFrame, record: str, item: str, pair: s
     scratch = Scratch(items.sparkSession)
     named = items.select(F.col(record).alias("r"), lower_name(item).alias("i")).where("r is not null and i is not null")
     # a row without item for each record counts the records in the same pass
-    marked = named.select("r", F.explode(F.array("i", F.lit(None).cast("string"))).alias("i")).repartition("r").dropDuplicates()
-    counts = scratch.save(marked.groupBy("i").agg(F.count(F.lit(1)).alias("n")))
-    total = (counts.where("i is null").first() or [None, 0])[1]
+    marked = named.select("r", F.explode(F.array("i", F.lit(None).cast("string"))).alias("i")).dropDuplicates()
+    counts, seen = scratch.save_observed(marked.groupBy("i").agg(F.count(F.lit(1)).alias("n")), F.count("i").alias("items"), F.max(F.when(F.col("i").isNull(), F.col("n"))).alias("records"))
+    total, rows = seen["records"] or 0, seen["items"]
     counts = counts.where("i is not null")
-    shares = max(1, -(-counts.count() // STRIPE_NEIGHBOURS))
+    shares = max(1, -(-rows // STRIPE_NEIGHBOURS))
 
     x, y = lower_name(F.get(pair, F.lit(0))), lower_name(F.get(pair, F.lit(1)))
     two = pairs.where(F.size(pair) == 2).select(F.col(record).alias("r"), x.alias("x"), y.alias("y")).where("r is not null and x != y")
-    once = two.select("r", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).dropDuplicates()
-    counted = once.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_records)
-    share = F.pmod(F.xxhash64("b"), F.lit(shares)).alias("share")
-    stripes = counted.groupBy("a", share).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("stripe"))
+    in_record = two.groupBy("r", F.least("x", "y").alias("a")).agg(F.collect_set(F.greatest("x", "y")).alias("bs"))
+    parts = in_record.select("a", "bs").mapInArrow(_adding(shares), _STRIPE)
+    ordered = parts.repartition("a", "share").sortWithinPartitions("a", "share")
+    stripes = scratch.save(ordered.mapInArrow(_merging(min_records), _STRIPE))
 
-    stripes = scratch.save(stripes)
     own = counts.select(F.col("i").alias("a"), F.col("n").alias("n_a"))
-    opened = skew_join(stripes, own, "a", hot_keys(stripes, "a")).select("a", "n_a", F.explode("stripe").alias("b", "n"))
-    other = counts.select(F.col("i").alias("b"), F.col("n").alias("n_b"))
-    met = skew_join(opened, other, "b", hot_keys(stripes.select(F.explode(F.map_keys("stripe")).alias("b")), "b"))
+    zipped = F.explode(F.arrays_zip("bs", "ns")).alias("e")
+    opened = lookup(stripes, own, "a", rows).select("a", "n_a", zipped).select("a", "n_a", F.col("e.bs").alias("b"), F.col("e.ns").alias("n"))
+    met = lookup(opened, counts.select(F.col("i").alias("b"), F.col("n").alias("n_b")), "b", rows)
     all_records = F.lit(total).cast("long")
     lift = F.col("n") * all_records.cast("double") / (F.col("n_a") * F.col("n_b").cast("double"))
     llr = log_likelihood_ratio(F.col("n"), F.col("n_a"), F.col("n_b"), all_records)
     return met.select(F.col("a").alias("item_a"), F.col("b").alias("item_b"), "n", "n_a", "n_b", all_records.alias("total"), lift.alias("lift"), llr.alias("llr"))
+
+
+#: A stripe: an item, the number of the share, its neighbours and their counts.
+_STRIPE = "a string, share int, bs array<string>, ns array<long>"
+_ARROW = pa.schema([("a", pa.string()), ("share", pa.int32()), ("bs", pa.list_(pa.string())), ("ns", pa.list_(pa.int64()))])
+#: Entries of one Arrow batch of stripes, about.
+_BATCH = 100_000
+
+
+def _batches(stripes: Iterator[tuple[str, int, Counter]]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+    entries = 0
+    for a, share, counts in stripes:
+        rows.append((a, share, [*counts], [*counts.values()]))
+        entries += len(counts)
+        if entries >= _BATCH:
+            yield _batch(rows)
+            rows, entries = [], 0
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+
+def _adding(shares: int):
+    """Adds the arrays of neighbours of a task up by item and splits them into shares."""
+
+    def split(held: dict[str, Counter]) -> Iterator[tuple[str, int, Counter]]:
+        for a, counts in held.items():
+            if shares == 1:
+                yield a, 0, counts
+                continue
+            parts: dict[int, Counter] = {}
+            for b, n in counts.items():
+                parts.setdefault(zlib.crc32(b.encode()) % shares, Counter())[b] = n
+            for share, part in parts.items():
+                yield a, share, part
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+        size = 0
+        for batch in batches:
+            for a, bs in zip(batch.column("a").to_pylist(), batch.column("bs").to_pylist(), strict=True):
+                held.setdefault(a, Counter()).update(bs)
+                size += len(bs)
+            if size >= HELD:
+                yield from _batches(split(held))
+                held, size = {}, 0
+        yield from _batches(split(held))
+
+    return add
+
+
+def _merging(least: int):
+    """Merges stripes of the same item and share, which come one after the other; drops neighbours with fewer than ``least``."""
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Counter]]:
+        key, whole = None, Counter()
+        for batch in batches:
+            for a, share, bs, ns in zip(*(batch.column(c).to_pylist() for c in ("a", "share", "bs", "ns")), strict=True):
+                if (a, share) != key:
+                    if key:
+                        yield *key, whole
+                    key, whole = (a, share), Counter()
+                for b, n in zip(bs, ns, strict=True):
+                    whole[b] += n
+        if key:
+            yield *key, whole
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = ((a, share, Counter({b: n for b, n in counts.items() if n >= least}) if least > 1 else counts) for a, share, counts in merged(batches))
+        yield from _batches(stripe for stripe in frequent if stripe[2])
+
+    return kept

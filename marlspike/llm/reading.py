@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlspike.scratch import Scratch
+from marlspike.skew import lookup
 
 #: School grades at which a level ends and the next begins (the last level has no end).
 GRADES = (2, 5, 8, 12, 16, 20)
 #: Texts the models are fitted on, about; they are the same share of all texts by a hash of the id, or all if fewer.
 SEED_TEXTS = 50_000
-#: Most frequent words of those texts that the models know (a row of some 80 bytes each); others weigh the same in each level.
-VOCABULARY = 100_000
+#: Most frequent words of those texts that the models know, if a caller bounds them; None is all.
+VOCABULARY: int | None = None
 #: Added to each count.
 SMOOTHING = 0.1
 
@@ -44,31 +45,39 @@ def reading_levels(texts: DataFrame, text_id: str, text: str, least_words: int =
     """(text id, level) of each text of at least ``least_words`` words; ``level`` counts the GRADES reached, from 0.
 
     A sample of the texts is given levels by the formula, and a smoothed unigram language model is fitted to each level:
-    the logarithms of the level's share and of each known word's share in it; other words say nothing of the level.  Every text, whole, gets the level of greatest
-    posterior probability: its words are joined with the models and their weights added up by text, on the map side first.
-
-    The models have at most VOCABULARY rows and are broadcast; fitting reads about SEED_TEXTS texts; both are bounds of the
-    model, while all texts are scored.  Levels without a seed text are never given; of equally probable levels the lower is.
+    the logarithms of the level's share and of each word's share in it; words that no seed has say nothing of the level.
+    Every text, whole, gets the level of greatest posterior probability: its words are joined with the models and their
+    weights added up by text, on the map side first.
+
+    The models know every word of the seeds.  While those words, counted before, are few enough they are broadcast; more
+    are joined by ``skew_join``.  Fitting reads about SEED_TEXTS texts, which is the bound of the model, while all texts are
+    scored.  Texts aren't copied: they are read once to count them, once for the seeds and once for the scores.  Levels
+    without a seed text are never given; of equally probable levels the lower is.
     Missing and shorter texts have no row, nor have rows without id; rows that share an id are scored as one text.  An
     empty table gives an empty result.
     """
     scratch = Scratch(texts.sparkSession)
-    cut = texts.select(F.col(text_id).alias("id"), F.col(text).alias("text"), F.regexp_extract_all(F.lower(F.col(text)), F.lit(_WORD), F.lit(0)).alias("words"))
-    usable, seen = scratch.save_observed(cut.where(F.col("id").isNotNull() & (F.size("words") >= least_words)), F.count(F.lit(1)).alias("n"))
-    share = min(1.0, SEED_TEXTS / max(1, seen["n"]))
-    seeds = usable.where(F.pmod(F.xxhash64("id", F.lit(37)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else usable
-    leveled = scratch.save(seeds.select("words", level_of(school_grade(F.col("text"), F.size("words"))).alias("level")))
+    given = texts.select(F.col(text_id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+
+    def worded(rows: DataFrame) -> DataFrame:
+        words = rows.withColumn("words", F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
+        return words.where(F.size("words") >= least_words)
+
+    share = min(1.0, SEED_TEXTS / max(1, given.count()))
+    seeds = given.where(F.pmod(F.xxhash64("id", F.lit(37)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else given
+    leveled = scratch.save(worded(seeds).select("words", level_of(school_grade(F.col("text"), F.size("words"))).alias("level")))
     levels = range(len(GRADES) + 1)
     priors = {r["level"]: r["n"] for r in leveled.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
     used = [k for k in levels if priors.get(k)]
     if not used:
-        return usable.select(F.col("id").alias(text_id), F.lit(0).alias("level")).limit(0)
-    counts = leveled.select("level", F.explode("words").alias("word")).groupBy("word").agg(*(F.count_if(F.col("level") == k).alias(f"c{k}") for k in used), F.count(F.lit(1)).alias("n"))
-    known = scratch.save(counts.orderBy(F.desc("n"), "word").limit(VOCABULARY))
-    sums = known.agg(F.count(F.lit(1)).alias("words"), *(F.sum(f"c{k}").alias(f"c{k}") for k in used)).first()
+        return given.select(F.col("id").alias(text_id), F.lit(0).alias("level")).limit(0)
+    counts = leveled.select("level", F.explode("words").alias("word")).groupBy("word").agg(*(F.count_if(F.col("level") == k).alias(f"c{k}") for k in used))
+    if VOCABULARY is not None:
+        counts = counts.orderBy(F.desc(sum((F.col(f"c{k}") for k in used[1:]), F.col(f"c{used[0]}"))), "word").limit(VOCABULARY)
+    known, sums = scratch.save_observed(counts, F.count(F.lit(1)).alias("words"), *(F.sum(f"c{k}").alias(f"c{k}") for k in used))
     below = {k: sums[f"c{k}"] + SMOOTHING * sums["words"] for k in used}
     model = known.select("word", *(F.log((F.col(f"c{k}") + SMOOTHING) / below[k]).alias(f"w{k}") for k in used))
-    met = usable.select("id", F.explode("words").alias("word")).join(F.broadcast(model), "word", "left")
+    met = lookup(worded(given).select("id", F.explode("words").alias("word")), model, "word", sums["words"], how="left")
     scores = met.groupBy("id").agg(*(F.sum(F.coalesce(f"w{k}", F.lit(0.0))).alias(f"s{k}") for k in used))
     whole = sum(priors.values())
     ranked = [F.struct((F.col(f"s{k}") + math.log(priors[k] / whole)).alias("s"), F.lit(-k).alias("k")) for k in used]
