@@ -37,6 +37,7 @@ class Scratch:
         self.root = f"{shared_folder(spark).rstrip('/')}/marlspike/{uuid.uuid4().hex}"
         self._n = 0
         self._paths: list[tuple[DataFrame, str]] = []  # the tables themselves, so that no other can take one's identity
+        self._tables: dict[str, str] = {}
         atexit.register(self.close)
 
     def save(self, df: DataFrame) -> DataFrame:
@@ -53,6 +54,22 @@ class Scratch:
         saved = self.save(df.observe(seen, *observed))
         return saved, seen.get
 
+    def save_bucketed(self, df: DataFrame, column: str, *observed: Column) -> tuple[DataFrame, dict]:
+        """As ``save_observed``, in as many buckets by ``column`` as shuffles have partitions.
+
+        A join or aggregate by that column leaves such a table where it is: only the other side is shuffled.
+        """
+        self._n += 1
+        path, name = f"{self.root}/{self._n:04d}", f"marlspike_{uuid.uuid4().hex}"
+        seen = Observation()
+        watched = df.observe(seen, *observed) if observed else df
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        watched.write.format("parquet").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+        saved = self.spark.table(name)
+        self._paths.append((saved, path))
+        self._tables[path] = name
+        return saved, seen.get if observed else {}
+
     def drop(self, *saved: DataFrame) -> None:
         """Deletes tables that ``save`` returned; nothing may still have to be computed from them."""
         for df in saved:
@@ -72,11 +89,15 @@ class Scratch:
         """Deletes all tables; for callers that have used the operator's result.  Otherwise the end of the process does it."""
         atexit.unregister(self.close)
         try:
+            for name in self._tables.values():
+                self.spark.sql(f"drop table if exists {name}")
             self._delete(self.root)
         except Exception:  # the JVM may be gone at exit
             pass
 
     def _delete(self, path: str) -> None:
+        if path in self._tables:
+            self.spark.sql(f"drop table if exists {self._tables.pop(path)}")
         jvm = self.spark.sparkContext._jvm
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
