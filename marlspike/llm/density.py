@@ -17,6 +17,8 @@ from marlspike.skew import hot_keys, skew_join
 LEVEL_BITS = 6
 #: Records whose outermost are looked for in one go, pairwise.
 FRONT_ROWS = 2048
+#: Doublings beyond which a block of at least the mean density is a peak of its own.
+PEAK_DISTANCE = 1.0
 #: Blocks whose labels are broadcast to the records at most (about 20 bytes each).
 BROADCAST_BLOCKS = 200_000
 
@@ -33,16 +35,20 @@ def _at_most_twice(high: Column, low: Column) -> Column:
 
 
 def _outermost(points: np.ndarray) -> np.ndarray:
-    """Which rows no other row equals or exceeds in every column; one of equal rows stays."""
+    """Which rows no other row equals or exceeds in every column; one of equal rows stays.
+
+    A row that exceeds another has the greater sum, so in that order each block of rows meets those kept before and itself.
+    """
     order = np.lexsort(points.T[::-1])[::-1]
     order = order[np.argsort(-points[order].astype(float).sum(axis=1), kind="stable")]
-    kept: list[int] = []
-    front = np.empty_like(points)
-    for i in order:
-        if not (front[: len(kept)] >= points[i]).all(axis=1).any():
-            front[len(kept)] = points[i]
-            kept.append(i)
-    return np.array(kept, dtype=int)
+    kept = order[:0]
+    for at in range(0, len(order), 256):
+        block = order[at : at + 256]
+        values = points[block]
+        over = (points[kept][None, :, :] >= values[:, None, :]).all(axis=2).any(axis=1)
+        among = np.tril((values[None, :, :] >= values[:, None, :]).all(axis=2), -1).any(axis=1)
+        kept = np.concatenate([kept, block[~(over | among)]])
+    return kept
 
 
 class DensityPeaks:
@@ -53,14 +59,16 @@ class DensityPeaks:
     stands for its records, and there are at most 64 ** len(fields) of them, however many records.  Similar records lie in
     the same block or in blocks that differ by at most one in each field.
 
-    * density of a block: its records, and those of adjacent blocks halved for each field in which they differ;
     * the blocked neighbour join finds, for each block, the adjacent ones with a similar pair of records.  Least and
       greatest values decide this where one field differs.  Where more do, they can only rule it out; the records that
       decide are then the outermost in the direction of the other block, and only these are compared.  ``diagonal`` does
       so for blocks without a denser one that differs in one field, which is all that pointers need; ``groups`` does so
       for blocks whose peaks aren't joined otherwise and needs no ``diagonal``;
-    * each block points to its nearest linked denser block, nearest by the number of differing fields, then the densest;
-      blocks with none are peaks, and following the pointers labels every block with its peak;
+    * density of a block (rho): its records, and half of those of each linked block that differs in one field;
+    * distance of a block (delta): that to the nearest linked denser block, measured between the means of their records as
+      the greatest difference of a field in doublings; without bound for blocks that are linked to no denser one;
+    * peaks are chosen by both: blocks linked to no denser one, and blocks of at least the mean density that lie more than
+      PEAK_DISTANCE from the nearest denser one.  Every other block points to that one, and following the pointers labels it;
     * ``groups`` joins the peaks' clusters that touch, which gives all records linked directly or indirectly.
 
     Records with a missing or negative value in a field, or without id, are left out.  A record given again counts once.
@@ -80,7 +88,7 @@ class DensityPeaks:
         for x in self.axes:
             number = F.shiftleft(number, LEVEL_BITS).bitwiseOR(level(F.col(x)).cast("long"))
         self.records = self.scratch.save(taken.where(whole).dropDuplicates().withColumn("block", number))
-        bounds = [f(x).alias(f"{n}{x}") for x in self.axes for n, f in (("lo_", F.min), ("hi_", F.max))]
+        bounds = [f(x).alias(f"{n}{x}") for x in self.axes for n, f in (("lo_", F.min), ("hi_", F.max), ("at_", lambda x: F.avg(F.log2(F.col(x) + F.lit(1.0)))))]
         self.blocks = self.scratch.save(self.records.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), *bounds))
         self._link()
         self._label(diagonal)
@@ -106,12 +114,16 @@ class DensityPeaks:
             s = F.col("s")[i]
             possible &= (s == 0) | ((s == 1) & _at_most_twice(F.col(f"q.lo_{x}"), F.col(f"p.hi_{x}"))) | ((s == -1) & _at_most_twice(F.col(f"p.lo_{x}"), F.col(f"q.hi_{x}")))
             differing += F.abs(s)
-        pairs = self._adjacent().withColumns({"possible": possible, "steps": differing})
-        pairs = pairs.select(F.col("p.block").alias("a"), F.col("q.block").alias("b"), F.col("p.n").alias("n_a"), F.col("q.n").alias("n_b"), "s", "steps", "possible")
+        apart = F.greatest(F.lit(0.0), *(F.abs(F.col(f"p.at_{x}") - F.col(f"q.at_{x}")) for x in self.axes))
+        pairs = self._adjacent().withColumns({"possible": possible, "steps": differing, "apart": apart})
+        pairs = pairs.select(F.col("p.block").alias("a"), F.col("q.block").alias("b"), F.col("p.n").alias("n_a"), F.col("q.n").alias("n_b"), "s", "steps", "apart", "possible")
         self.pairs = self.scratch.save(pairs)
-        reached = self.pairs.select(F.col("a").alias("block"), (F.col("n_b") / F.pow(F.lit(2.0), "steps")).alias("w")).unionAll(self.pairs.select("b", F.col("n_a") / F.pow(F.lit(2.0), "steps")))
+        linked = self.pairs.where("possible and steps = 1")
+        reached = linked.select(F.col("a").alias("block"), (F.col("n_b") / 2).alias("w")).unionAll(linked.select("b", F.col("n_a") / 2))
         near = reached.groupBy("block").agg(F.sum("w").alias("w"))
-        self.density = self.scratch.save(self.blocks.select("block", "n", "least").join(near, "block", "left").select("block", "n", "least", (F.col("n") + F.coalesce("w", F.lit(0.0))).alias("density")))
+        density = self.blocks.select("block", "n", "least").join(near, "block", "left").select("block", "n", "least", (F.col("n") + F.coalesce("w", F.lit(0.0))).alias("density"))
+        self.density, seen = self.scratch.save_observed(density, F.avg("density").alias("mean"))
+        self.mean_density = seen["mean"] or 0.0
 
     def _diagonal(self, sure: DataFrame) -> DataFrame:
         """Similar pairs of blocks that differ in more fields, where the less dense one has no denser block among ``sure``."""
@@ -122,19 +134,22 @@ class DensityPeaks:
             return both.withColumn("low", F.when(F.col("rank_a") < F.col("rank_b"), F.col("a")).otherwise(F.col("b")))
 
         alone = ranked(self.pairs.where("possible and steps > 1")).join(ranked(sure).select("low").distinct(), "low", "left_anti")
-        open_pairs = self.scratch.save(alone.select("a", "b", "s", "steps", F.col("a").alias("lo"), F.col("b").alias("hi"), "n_a", "n_b", F.monotonically_increasing_id().alias("pair")))
-        return self._decided(open_pairs).select("pair").join(open_pairs, "pair").select("a", "b", "steps")
+        open_pairs = self.scratch.save(alone.select("a", "b", "s", "steps", "apart", F.col("a").alias("lo"), F.col("b").alias("hi"), "n_a", "n_b", F.monotonically_increasing_id().alias("pair")))
+        return self._decided(open_pairs).select("pair").join(open_pairs, "pair").select("a", "b", "apart")
 
     def _label(self, diagonal: bool) -> None:
-        sure = self.pairs.where("possible and steps = 1").select("a", "b", "steps")
+        sure = self.pairs.where("possible and steps = 1").select("a", "b", "apart")
         if diagonal:
             sure = self.scratch.save(sure.unionByName(self._diagonal(sure)))
-        both = sure.unionByName(sure.select(F.col("b").alias("a"), F.col("a").alias("b"), "steps"))
+        both = sure.unionByName(sure.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
         rank = self.density.select(F.col("block").alias("a"), F.struct("density", "block").alias("rank"))
         other = self.density.select(F.col("block").alias("b"), F.struct("density", "block").alias("other"))
         denser = both.join(rank, "a").join(other, "b").where("other > rank")
-        nearest = denser.groupBy("a").agg(F.max(F.struct((-F.col("steps")).alias("near"), F.col("other.density").alias("density"), "b")).alias("to"))
-        pointers = self.blocks.select(F.col("block").alias("a")).join(nearest, "a", "left").select("a", F.coalesce("to.b", "a").alias("peak"))
+        nearest = denser.groupBy("a").agg(F.min(F.struct("apart", (-F.col("other.density")).alias("density"), "b")).alias("to"))
+        chosen = self.density.select(F.col("block").alias("a"), "density").join(nearest, "a", "left").select("a", "density", F.col("to.apart").alias("delta"), "to.b")
+        is_peak = F.col("delta").isNull() | ((F.col("delta") > PEAK_DISTANCE) & (F.col("density") >= self.mean_density))
+        self.decision = self.scratch.save(chosen.withColumn("is_peak", is_peak))
+        pointers = self.decision.select("a", F.when(F.col("is_peak"), F.col("a")).otherwise(F.col("b")).alias("peak"))
         pointers = self.scratch.save(pointers)
         while True:  # the way to a peak halves each time
             further = pointers.select(F.col("a").alias("peak"), F.col("peak").alias("next"))
@@ -156,19 +171,19 @@ class DensityPeaks:
 
     def _decided(self, open_pairs: DataFrame) -> DataFrame:
         """Those of the pairs of blocks that do have a similar pair of records, by the outermost records of either."""
-        k = len(self.axes)
 
         def facing(side: str, block: str, sign: int) -> DataFrame:
             """Records of one side, values turned so that greater means nearer to the other block; 0 where it doesn't count."""
             wanted = open_pairs.select("pair", "s", F.col(block).alias("block"), F.greatest("n_a", "n_b").alias("most"))
             turned = [(F.col("s")[i] * sign * F.col(x)).alias(x) for i, x in enumerate(self.axes)]
             # the pairs are joined to blocks, so a crowded block is spread by the records' side of the join
-            return self.records.join(F.broadcast(wanted) if few else wanted, "block").select("pair", "most", F.lit(side).alias("side"), *turned).dropDuplicates()
+            return self.records.join(F.broadcast(wanted) if self.few_pairs else wanted, "block").select("pair", "most", F.lit(side).alias("side"), *turned).dropDuplicates()
 
         def share(rows: Column, salt: int) -> Column:
             return F.pmod(F.xxhash64(*self.axes, F.lit(salt)), F.ceil(rows / FRONT_ROWS)).alias("share")
 
-        few = open_pairs.count() <= BROADCAST_BLOCKS
+        self.few_pairs = open_pairs.count() <= BROADCAST_BLOCKS
+        few_rows = False
         rows = facing("a", "a", 1).unionByName(facing("b", "b", -1))
         schema = "pair long, side string, " + ", ".join(f"{x} long" for x in self.axes)
 
@@ -181,7 +196,8 @@ class DensityPeaks:
         fronts, seen = self.scratch.save_observed(rows.groupBy("pair", "side", share(F.col("most"), 0)).applyInPandas(front, schema), count)
         for salt in itertools.count(1):  # the shares' outermost records together, until a pair's side fits into one share
             sizes = fronts.groupBy("pair", "side").agg(count)
-            if (sizes.agg(F.max("n")).first()[0] or 0) <= FRONT_ROWS and salt > 1:
+            few_rows = (sizes.agg(F.max("n")).first()[0] or 0) <= FRONT_ROWS and salt > 1
+            if few_rows:
                 break
             mixed = fronts.join(sizes, ["pair", "side"]).groupBy("pair", "side", share(F.col("n"), salt))
             fewer, left = self.scratch.save_observed(mixed.applyInPandas(front, schema), count)
@@ -189,14 +205,44 @@ class DensityPeaks:
             fronts, seen = fewer, left
             if stuck:
                 break
-        x = fronts.where("side = 'a'").select("pair", *(F.col(c).alias(f"a_{c}") for c in self.axes))
-        y = fronts.where("side = 'b'").select("pair", *(F.col(c).alias(f"b_{c}") for c in self.axes))
-        similar = F.lit(True)
-        signs = open_pairs.select("pair", "s", "lo", "hi")
-        for i in range(k):  # turned values: s * x on the first side, -s * y on the second
-            a, b = F.col(f"a_x{i}"), F.col(f"b_x{i}")
-            similar &= F.when(F.col("s")[i] == 1, _at_most_twice(-b, a)).when(F.col("s")[i] == -1, _at_most_twice(-a, b)).otherwise(True)
-        return x.join(signs, "pair").join(y, "pair").where(similar).select("lo", "hi", "pair").dropDuplicates(["pair"])
+        sizes = fronts.groupBy("pair", "side").agg(count)
+        shared = fronts.withColumn("share", F.lit(0)) if few_rows else fronts.join(sizes, ["pair", "side"]).withColumn("share", share(F.col("n"), 0)).drop("n")
+        return self._meeting(shared, open_pairs)
+
+    def _meeting(self, fronts: DataFrame, open_pairs: DataFrame) -> DataFrame:
+        """(pair, lo, hi) of pairs of which a record of one front is similar to one of the other.
+
+        A record of the first side is written by what it allows and one of the second by what it needs, both growing with
+        the nearness of the other, so that two are similar where the first is at least the second in every field.  Shares of
+        at most some FRONT_ROWS records are compared where their bounds allow it, within a task; no pairs of records are made.
+        """
+        axes = list(self.axes)
+        steps = open_pairs.select("pair", "s")
+        sides = fronts.join(F.broadcast(steps) if self.few_pairs else steps, "pair")
+        first = F.col("side") == "a"
+        needs = {x: F.when(F.col("s")[i] == 0, F.lit(0)).when(first, F.when(F.col("s")[i] == 1, F.col(x)).otherwise(-F.shiftright(-F.col(x), 1))).otherwise(F.when(F.col("s")[i] == 1, F.shiftright(-F.col(x), 1)).otherwise(-F.col(x))).alias(x) for i, x in enumerate(axes)}
+        turned = self.scratch.save(sides.select("pair", "side", "share", *needs.values()))
+        a, b = turned.where("side = 'a'"), turned.where("side = 'b'")
+        high = a.groupBy("pair", "share").agg(*(F.max(x).alias(f"hi_{x}") for x in axes))
+        low = b.groupBy("pair", F.col("share").alias("other")).agg(*(F.min(x).alias(f"lo_{x}") for x in axes))
+        fits = F.lit(True)
+        for x in axes:
+            fits &= F.col(f"hi_{x}") >= F.col(f"lo_{x}")
+        meetings = self.scratch.save(high.join(low, "pair").where(fits).select("pair", "share", "other"))
+        keys = ["pair", "share", "other"]
+        left = a.join(meetings, ["pair", "share"]).select(*keys, *axes)
+        right = b.withColumnRenamed("share", "other").join(meetings, ["pair", "other"]).select(*keys, *axes)
+        right = right.toDF(*(f"q_{c}" for c in right.columns))  # columns of their own, as both sides come from one table
+
+        def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            p, q = x[axes].to_numpy(), y[[f"q_{c}" for c in axes]].to_numpy()
+            for at in range(0, len(p), 512):
+                if (p[at : at + 512, None, :] >= q[None, :, :]).all(axis=2).any():
+                    return pd.DataFrame({"pair": x["pair"].iloc[:1]})
+            return pd.DataFrame({"pair": x["pair"].iloc[:0]})
+
+        found = left.groupBy(*keys).cogroup(right.groupBy(*(f"q_{c}" for c in keys))).applyInPandas(meet, "pair long").distinct()
+        return found.join(open_pairs.select("pair", "lo", "hi"), "pair")
 
     def clusters(self) -> DataFrame:
         """(block, peak, n, least, density) of all blocks."""

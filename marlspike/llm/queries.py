@@ -159,11 +159,25 @@ spread as (select term, count(*) as d from counts group by term),
 whole as (select (select count(*) from pages)::double as n, (select avg(length) from lengths) as mean)"""
 
 
+_FIELDS = ["duration", "src_bytes", "dst_bytes", "count"]
+_SIMILAR = " and ".join(f"greatest(x.{f}, y.{f}) + 1 <= 2 * (least(x.{f}, y.{f}) + 1)" for f in _FIELDS)
+#: Records with as many binary digits of each field's value plus one are all similar, so such blocks may be linked for them.
+_SIMILARITY = f"""
+given as (select distinct conn_id, {', '.join(_FIELDS)} from kddcup where conn_id is not null and {' and '.join(f'{f} >= 0' for f in _FIELDS)}),
+placed as (select *, {" || '/' || ".join(f'length(bin({f}::bigint + 1))::varchar' for f in _FIELDS)} as block from given),
+points as (select distinct block, {', '.join(_FIELDS)} from placed),
+links as (select distinct x.block as a, y.block as b from points x join points y on x.block <> y.block and {_SIMILAR}),
+reach as (select distinct block as a, block as b from points union select r.a, l.b from reach r join links l on r.b = l.a),
+blocks as (select block, min(conn_id) as least, count(*) as n from placed group by block),
+found as (select a as block, min(least) as group_id, sum(n)::bigint as size from reach join blocks on b = block group by a)"""
+
+
 def oracles() -> dict[str, str]:
     parts = ["n", "n_a - n", "n_b - n", "total - n_a - n_b + n", "total"]
     sides = ["n_a", "total - n_a", "n_b", "total - n_b"]
     llr = "2 * (" + " + ".join(_XLX.format(p) for p in parts) + " - " + " - ".join(_XLX.format(s) for s in sides) + ")"
     return {
+        "p7_found": f"with recursive {_SIMILARITY} select group_id, conn_id from placed join found using (block) where size > 1",
         "p3_found": f"with recursive {_GROUPS} select group_id, record_id from found",
         "p3_group_sizes": f"with recursive {_GROUPS} select size, count(*) as groups from (select count(*) as size from found group by group_id) group by size",
         "p4_found": f"with {_TOGETHER} select topic_a, topic_b from counted where n >= 4 and n::double * total / (n_a * n_b) >= 5",
