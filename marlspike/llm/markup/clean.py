@@ -15,7 +15,7 @@ def squeezed(text: str) -> str:
 
 
 def without_tags(text: str) -> str:
-    text = re.sub(r"<!--.*?-->", "", text, flags=re.S)
+    text = _between(text, re.compile("<!--"), re.compile("-->"))
     text = re.sub(r"<br\s*/?>", " ", text, flags=re.I)
     return re.sub(r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s+(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)?/?>", "", text)
 
@@ -24,18 +24,44 @@ def of_html(text: str) -> str:
     return html.unescape(without_tags(text))
 
 
+def _without_templates(text: str) -> str:
+    """Templates, however deep, are taken out, but for the text of {{nowrap|...}}; unclosed ones stay as they are."""
+    opened: list[list[str]] = [[]]
+    for part in re.split(r"(\{\{|\}\})", text):
+        if part == "{{":
+            opened.append([])
+        elif part == "}}" and len(opened) > 1:
+            inside = "".join(opened.pop())
+            opened[-1].append(inside[7:] if inside[:7].lower() == "nowrap|" else "")
+        else:
+            opened[-1].append(part)
+    return "{{".join("".join(parts) for parts in opened)
+
+
 def of_wiki(text: str) -> str:
-    text = re.sub(r"<ref\b[^>]*/>|<ref\b[^>]*>.*?</ref\s*>", "", text, flags=re.S | re.I)
-    for _ in range(3):  # templates within templates
-        text = re.sub(r"\{\{nowrap\|([^{}|]*)\}\}", r"\1", text, flags=re.I)
-        text = re.sub(r"\{\{[^{}]*\}\}", "", text)
+    text = re.sub(r"<ref\b[^<>]*/>", "", text, flags=re.I)
+    text = _between(text, re.compile(r"<ref\b[^<>]*>", re.I), re.compile(r"</ref\s*>", re.I))
+    if "{{" in text:
+        text = _without_templates(text)
     text = re.sub(r"\[\[(?:file|image|category):[^\]]*\]\]", "", text, flags=re.I)
     text = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", text)
-    text = re.sub(r"\[https?://\S+\s+([^\]]*)\]", r"\1", text)
+    text = re.sub(r"\[https?://[^\s\[\]]+\s+([^\[\]]*)\]", r"\1", text)
     text = re.sub(r"'''''(.+?)'''''|'''(.+?)'''|''(.+?)''", lambda m: m[1] or m[2] or m[3], text)
     return html.unescape(without_tags(text))
 
 
+def _between(text: str, start: re.Pattern, end: re.Pattern) -> str:
+    """Without what stands between marks; a start that has no end stays."""
+    out, at = [], 0
+    while opened := start.search(text, at):
+        closed = end.search(text, opened.end())
+        if not closed:
+            break
+        out.append(text[at : opened.start()])
+        at = closed.end()
+    return "".join(out) + text[at:]
+
+
 def of_markdown(text: str) -> str:
     kept: list[str] = []
 
@@ -54,14 +80,43 @@ def of_markdown(text: str) -> str:
     return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m[1])], text)
 
 
+_TEX = re.compile(
+    r"(?P<kept>\\[\\{}])"
+    r"|(?P<drop>~?\\(?:cite[pt]?|footnote|label|ref|index)\*?(?:\[[^\[\]]*\])?\{)"
+    r"|(?P<href>\\href\{)"
+    r"|(?P<open>\\(?!(?:begin|end)\b)[a-zA-Z]+\*?\{|\{\\(?:em|bf|it|tt|sc|rm|sf|bfseries|itshape|ttfamily|scshape)\b\s*)"
+    r"|(?P<plain>\{)|(?P<close>\})"
+)
+
+
+def _without_commands(text: str) -> str:
+    """Commands, however deep, give way to their argument; notes, citations and labels go with it; other braces stay."""
+    opened: list[tuple[str, str, list[str]]] = [("", "", [])]
+    at, after_address = 0, -1
+    for match in _TEX.finditer(text):
+        opened[-1][2].append(text[at : match.start()])
+        at, kind = match.end(), match.lastgroup
+        if kind == "kept":
+            opened[-1][2].append(match[0])
+        elif kind != "close":
+            shown = kind == "plain" and match.start() == after_address  # the text of a link
+            opened.append(("open" if shown else kind, match[0], []))
+        elif len(opened) == 1:
+            opened[-1][2].append("}")
+        else:
+            kind, mark, parts = opened.pop()
+            inside = "".join(parts)
+            after_address = at if kind == "href" else -1
+            opened[-1][2].append({"open": inside, "plain": f"{{{inside}}}"}.get(kind, ""))
+    whole = "".join(mark + "".join(parts) for _, mark, parts in opened)
+    return whole + text[at:]
+
+
 def of_latex(text: str) -> str:
     text = re.sub(r"(?<!\\)%[^\n]*", "", text)
-    text = re.sub(r"~?\\(?:cite[pt]?|footnote|label|ref|index)\*?(?:\[[^\]]*\])?\{[^{}]*\}", "", text)
-    text = re.sub(r"\\href\{[^{}]*\}\{([^{}]*)\}", r"\1", text)
-    for _ in range(4):  # commands within commands
-        text = re.sub(r"\\(?!begin\b|end\b)[a-zA-Z]+\*?\{([^{}]*)\}", r"\1", text)
-        text = re.sub(r"\{\\(?:em|bf|it|tt|sc|rm|sf|bfseries|itshape|ttfamily|scshape)\b\s*([^{}]*)\}", r"\1", text)
-    text = re.sub(r"\\\\(?:\[[^\]]*\])?", " ", text)
+    if "\\" in text:
+        text = _without_commands(text)
+    text = re.sub(r"\\\\(?:\[[^\]\n]*\])?", " ", text)
     text = _TEX_ESCAPE.sub(r"\1", text.replace("~", " "))
     return text.replace("``", '"').replace("''", '"')
 

@@ -14,8 +14,31 @@ class ChainField:
         n = len(labels)
         self.weights, self.moves, self.first = np.zeros((0, n)), np.zeros((n, n)), np.zeros(n)
 
+    def to_dict(self) -> dict:
+        """Labels and weights, to three decimals, without zeros."""
+
+        def sparse(row: np.ndarray) -> dict[str, float]:
+            return {self.labels[i]: round(float(x), 3) for i, x in enumerate(row) if abs(x) >= 5e-4}
+
+        return {"labels": self.labels, "first": sparse(self.first), "moves": [sparse(row) for row in self.moves], "features": {f: sparse(self.weights[i]) for f, i in self.features.items()}}
+
+    @classmethod
+    def from_dict(cls, given: dict) -> ChainField:
+        field = cls(given["labels"])
+
+        def dense(row: dict[str, float]) -> np.ndarray:
+            return np.array([row.get(label, 0.0) for label in field.labels])
+
+        field.features = {f: i for i, f in enumerate(given["features"])}
+        field.weights = np.array([dense(row) for row in given["features"].values()]).reshape(-1, len(field.labels))
+        field.first, field.moves = dense(given["first"]), np.array([dense(row) for row in given["moves"]])
+        return field
+
     def _scores(self, sequence: list[list[str]]) -> np.ndarray:
-        return np.array([self.weights[[k for f in leaf if (k := self.features.get(f)) is not None]].sum(axis=0) for leaf in sequence])
+        known = [[k for f in leaf if (k := self.features.get(f)) is not None] for leaf in sequence]
+        ends = np.cumsum([len(row) for row in known])
+        sums = np.cumsum(np.vstack([np.zeros(len(self.labels)), self.weights[[k for row in known for k in row]]]), axis=0)
+        return sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
 
     @staticmethod
     def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:

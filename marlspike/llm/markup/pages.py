@@ -11,13 +11,10 @@ from pyspark.sql import functions as F
 
 from marlspike.llm.markup.clean import CLEANERS, of_html, of_running, squeezed, table_rows
 from marlspike.llm.markup.crf import ChainField
-from marlspike.llm.markup.features import page_features
-from marlspike.llm.markup.leaves import Leaf, inline_languages, leaves
+from marlspike.llm.markup.features import page_features, with_marks
+from marlspike.llm.markup.leaves import Leaf, leaves
 from marlspike.llm.markup.training import trained
 
-_OWNER = {"comment": "html", "hidden": "html", "table": "html", "wikitable": "wiki", "template": "wiki", "note": "wiki", "category": "wiki", "tabular": "latex", "environment": "latex", "remark": "latex"}
-
-
 def _content(kind: str, language: str, leaf: Leaf) -> str:
     if kind == "code":
         return squeezed(of_html(leaf.body) if language == "html" else leaf.body)
@@ -32,31 +29,36 @@ def _content(kind: str, language: str, leaf: Leaf) -> str:
 
 
 def _pieces(page: str, field: ChainField) -> tuple[list[tuple[str, str, Leaf]], set[str]]:
-    """(kind, content, leaf) of each leaf in order, and the languages used."""
-    found = leaves(page)
-    labels = field.decode(page_features(page, found))
-    pieces, languages = [], set()
-    for leaf, label in zip(found, labels, strict=True):
-        kind, _, language = label.partition(":")
-        if language:
-            languages.add(language)
-        elif leaf.shape in _OWNER:
-            languages.add(_OWNER[leaf.shape])
-        if kind not in ("code", "formula") and leaf.shape != "hidden":
-            marks = page[leaf.start : leaf.end] if leaf.shape not in ("h", "li", "section", "bibitem", "pre") else leaf.body
-            languages |= inline_languages(marks)
+    """(kind, content, leaf) of each block leaf in order, and the languages that the labels of leaves and marks have."""
+    blocks = leaves(page)
+    found, parents = with_marks(page, blocks)
+    labels = [label.partition(":") for label in field.decode(page_features(page, found, parents))]
+    kinds = [kind for kind, _, _ in labels[: len(blocks)]]
+    languages = {language for _, _, language in labels[: len(blocks)] if language}
+    # what stands inside code and formulas marks nothing
+    languages |= {language for (_, _, language), at in zip(labels[len(blocks) :], parents, strict=True) if language and kinds[at] not in ("code", "formula")}
+    pieces = []
+    for leaf, (kind, _, language) in zip(blocks, labels, strict=False):
+        kind = "text" if kind == "mark" else kind
         pieces.append((kind, _content(kind, language, leaf) if kind in ("heading", "item", "code", "formula") else "", leaf))
     return pieces, languages
 
 
 def elements(page: str | None, field: ChainField) -> list[tuple[str, str]]:
-    """The distinct (kind, content) of a page: its languages (kind markup), headings, items, code blocks and formulas."""
+    """The distinct (kind, content) of a page: its languages (kind markup), headings, items, code blocks and formulas.
+
+    The text of an item that has other blocks or items in it is that of its own leaves, one after the other.
+    """
     if not page or not page.strip():
         return []
     pieces, languages = _pieces(page, field)
+    whole: dict[int | tuple, tuple[str, str]] = {}
+    for i, (kind, content, leaf) in enumerate(pieces):
+        owner = leaf.owner if kind == "item" and leaf.owner >= 0 else (i,)
+        if content:
+            whole[owner] = (kind, f"{whole[owner][1]} {content}" if owner in whole else content)
     cases = {("markup", name): None for name in sorted(languages)}
-    cases |= {(kind, content): None for kind, content, _ in pieces if content}
-    return list(cases)
+    return list(cases | dict.fromkeys(case for case in whole.values() if case[0] in ("heading", "item", "code", "formula")))
 
 
 def clean_text(page: str | None, field: ChainField) -> str:
@@ -65,6 +67,7 @@ def clean_text(page: str | None, field: ChainField) -> str:
         return ""
     pieces, languages = _pieces(page, field)
     out, end = "", 0
+    begun: set[int] = set()
     for kind, content, leaf in pieces:
         gap = page[end : leaf.start].count("\n")
         end = max(end, leaf.end)
@@ -76,7 +79,11 @@ def clean_text(page: str | None, field: ChainField) -> str:
         elif kind == "other":
             text = "\n".join(table_rows(leaf.shape, leaf.body))
         else:
-            text = {"heading": "# ", "item": "- ", "formula": "$"}.get(kind, "") + content + ("$" if kind == "formula" else "")
+            more = kind == "item" and leaf.owner in begun
+            text = ("" if more else {"heading": "# ", "item": "- ", "formula": "$"}.get(kind, "")) + content + ("$" if kind == "formula" else "")
+            text = text if content else ""
+            if kind == "item" and content and leaf.owner >= 0:
+                begun.add(leaf.owner)
         if text and not leaf.around:
             joint = "\n\n" if gap > 1 or kind in ("heading", "code") else "\n" if gap or kind == "item" else " "
             out += (joint if out else "") + text

@@ -1,17 +1,24 @@
-"""Labelled pages to train on, written by rule from random words, and the model trained on them."""
+"""Labelled pages to train on, written by rule from random words, and the model trained on them.
+
+The model's weights are kept beside this file; ``python -m marlspike.llm.markup.training`` makes them anew.
+"""
 
 from __future__ import annotations
 
+import json
 import random
+import re
 from functools import lru_cache
+from pathlib import Path
 
 from marlspike.llm.markup.crf import ChainField
-from marlspike.llm.markup.features import LABELS, page_features
+from marlspike.llm.markup.features import _OWN, LABELS, page_features, with_marks
 from marlspike.llm.markup.leaves import leaves
 
 #: Pages the model is trained on, and the seed they are drawn with.
 TRAINING_PAGES = 360
 SEED = 20
+WEIGHTS = Path(__file__).with_name("weights.json")
 
 _SYLLABLES = ["ba", "do", "fi", "gu", "he", "ka", "lo", "mi", "nu", "pe", "ra", "so", "ti", "vu", "ze"]
 _FORMULAS = ["x^2 + y^2 = r", "\\frac{a}{b} + 1", "e_1 < e_2", "m = n - 4", "\\sqrt{k}", "f(t) = 2t", "p(x \\mid y)"]
@@ -19,7 +26,7 @@ _CODE = ["if a < b and c:", "# read the file", "* a note", "== part ==", "    re
 
 
 class Writer:
-    """Writes pages and keeps the span and label of every block."""
+    """Writes pages and keeps the span and label of every block; ``text@language`` is text with marks of a language."""
 
     def __init__(self, seed: int):
         self.draw = random.Random(seed)
@@ -57,14 +64,16 @@ class Writer:
     def paragraph(self, language: str | None) -> list[tuple[str, str]]:
         rows = []
         for _ in range(self.draw.randint(1, 3)):
-            rows.append((self.marked(language, self.sentence()) if language else self.sentence(), "text"))
+            plain = self.sentence()
+            text = self.marked(language, plain) if language else plain
+            rows.append((text, "text" if text == plain else f"text@{language}"))
             if language in ("latex", "wiki") and self.draw.random() < 0.25:
                 body = self.draw.choice(_FORMULAS)
                 form = self.draw.choice(["$%s$", "\\(%s\\)"]) if language == "latex" else "<math>%s</math>"
                 rows += [(form % body, f"formula:{language}"), (self.words(3, 6) + ".", "text")]
         joined = [(text + " ", label) for text, label in rows]
         if language == "html" and self.draw.random() < 0.7:
-            joined = [("<p>", "text"), *joined, ("</p>", "text")]
+            joined = [("<p>", "text@html"), *joined, ("</p>", "text@html")]
         return joined
 
     def heading(self, language: str) -> list[tuple[str, str]]:
@@ -82,10 +91,21 @@ class Writer:
         texts = [self.marked(language, self.words(1, 6)) for _ in range(self.draw.randint(1, 6))]
         label = f"item:{language}"
         if language == "html":
-            end = self.draw.choice(["</li>", "</li>\n", "\n"])
-            return [("<ul>", "text"), *((f"<li>{t}{end}", label) for t in texts), ("</ul>", "text")]
+            end, tag = self.draw.choice(["</li>", "</li>\n", "\n"]), self.draw.choice(["ul", "ul", "ol"])
+            rows = []
+            for t in texts:
+                form = self.draw.random()
+                if form < 0.12:  # the item's text is a block inside it
+                    block = self.draw.choice(["p", "div", "blockquote"])
+                    rows += [("<li>", label), (self.draw.choice(["", "\n  "]), label), (f"<{block}>{t}</{block}>", label), ("</li>\n", "text@html")]
+                elif form < 0.24:  # a list inside it, and perhaps more text after that
+                    more = self.words(2, 6) if self.draw.random() < 0.5 else ""
+                    rows += [(f"<li>{t}", label), ("<ul>", "text@html"), (f"<li>{self.words(1, 4)}</li>", label), ("</ul>", "text@html"), (f"\n{more}", label if more else "text"), ("</li>\n", "text@html")]
+                else:
+                    rows.append((f"<li>{t}{end}", label))
+            return [(f"<{tag}>", "text@html"), *rows, (f"</{tag}>", "text@html")]
         if language == "latex":
-            return [("\\begin{itemize}\n", "other"), *((f"  \\item {t}\n", label) for t in texts), ("\\end{itemize}", "other")]
+            return [("\\begin{itemize}\n", "other:latex"), *((f"  \\item {t}\n", label) for t in texts), ("\\end{itemize}", "other:latex")]
         mark = self.draw.choice(["* ", "*", "# ", "#", "** "] if language == "wiki" else ["- ", "+ ", "1. ", "- [ ] ", "- ", "+ ", "1. ", "* "])
         if language == "wiki" and self.draw.random() < 0.4:  # items within items
             return [((mark[0] if i and self.draw.random() < 0.3 else "") + mark + t + "\n", label) for i, t in enumerate(texts)]
@@ -113,11 +133,11 @@ class Writer:
     def other(self, language: str) -> list[tuple[str, str]]:
         form = {
             "html": ["<table><tr><td>a</td></tr></table>", "<style>.a { b: c }</style>", "<!-- c -->"],
-            "wiki": ['{| class="wikitable"\n! A !! B\n|-\n| c || 4\n|}', "{{Infobox place\n| name = Hill\n}}", "[[Category:Places]]", "{{stub}}"],
+            "wiki": ['{| class="wikitable"\n! A !! B\n|-\n| c || 4\n|}', "{{Infobox place\n| name = Hill\n}}", "[[Category:Places]]", "{{stub}}", "<ref>Seen there.</ref>"],
             "markdown": ["| A | B |\n|---|---|\n| c | 4 |"],
             "latex": ["\\begin{tabular}{ll}\na & 4 \\\\\n\\end{tabular}", "% a remark"],
         }
-        return [(self.draw.choice(form[language]), "other")]
+        return [(self.draw.choice(form[language]), f"other:{language}")]
 
     def page(self) -> tuple[str, list[tuple[int, int, str]]]:
         languages = ["html", "wiki", "markdown", "latex"]
@@ -136,6 +156,9 @@ class Writer:
                 blocks.append(self.paragraph(language))
                 more = [self.items, self.items, self.code, self.formula, self.other]
                 blocks += [f(language) for f in self.draw.sample(more, self.draw.randint(0, 3))]
+                if language == "html" and self.draw.random() < 0.3:  # in another element
+                    around = self.draw.choice(["div", "section", "blockquote"])
+                    blocks[-1] = [(f"<{around}>\n", "text@html"), *blocks[-1], (f"\n</{around}>", "text@html")]
         text, spans = "", []
         for block in blocks:
             for part, label in block:
@@ -148,17 +171,31 @@ class Writer:
 def labelled_page(seed: int) -> tuple[list[list[str]], list[str]]:
     """Features and labels of the leaves of one page."""
     text, spans = Writer(seed).page()
-    found = leaves(text)
+    blocks = leaves(text)
+    found, parents = with_marks(text, blocks)
     gold = []
-    for leaf in found:
+    for leaf in blocks:
         at = next((i for i in range(leaf.start, leaf.end + 1) if i >= len(text) or not text[i].isspace()), leaf.start)
-        label = next((label for start, end, label in spans if start <= at < end), "text")
-        gold.append("text" if label == "item:html" and leaf.shape == "line" else label)  # a closing tag by itself
-    return page_features(text, found), gold
+        label = next((label for start, end, label in spans if start <= at < end), "text").partition("@")[0]
+        closing = label == "item:html" and leaf.shape == "line" and not re.sub(r"</?[a-z][^<>]*>", "", leaf.body).strip()
+        gold.append("text" if closing else label)
+    for mark, parent in zip(found[len(blocks) :], parents, strict=True):
+        over = {re.split("[:@]", label)[-1] for start, end, label in spans if start < blocks[parent].end and blocks[parent].start < end}
+        gold.append(f"mark:{_OWN[mark.shape]}" if _OWN[mark.shape] in over else "text")
+    return page_features(text, found, parents), gold
 
 
-@lru_cache(maxsize=1)
-def trained(pages: int = TRAINING_PAGES, seed: int = SEED) -> ChainField:
-    """The model, trained once a process on ``pages`` written pages."""
+def fitted(pages: int = TRAINING_PAGES, seed: int = SEED) -> ChainField:
+    """The model trained on ``pages`` written pages."""
     whole = [labelled_page(seed * 1_000_000 + i) for i in range(pages)]
     return ChainField(LABELS).fit([x for x, _ in whole], [y for _, y in whole])
+
+
+@lru_cache(maxsize=1)
+def trained() -> ChainField:
+    """The model with the weights that are kept, or trained if there are none."""
+    return ChainField.from_dict(json.loads(WEIGHTS.read_text())) if WEIGHTS.exists() else fitted()
+
+
+if __name__ == "__main__":
+    WEIGHTS.write_text(json.dumps(fitted().to_dict(), separators=(",", ":")))
