@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from marlspike.functions.names import lower_name
@@ -10,14 +11,6 @@ from marlspike.scratch import Scratch
 from marlspike.skew import lookup
 
 
-def _runs(ordered: Column) -> Column:
-    """(term, tf) of each run of equal entries of a sorted array."""
-    places = F.sequence(F.lit(0), F.size(ordered) - 1)
-    starts = F.when(F.size(ordered) > 0, F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(ordered)))
-    return F.zip_with(starts, ends, lambda start, end: F.struct(F.get(ordered, start).alias("term"), (end - start).cast("long").alias("tf")))
-
-
 def term_weights(records: DataFrame, record: str, terms: str, k1: float | None = 1.2, b: float = 0.75, rarity: str = "probabilistic") -> DataFrame:
     """(record, term, tf, df, length, total, score) for each record and distinct term.
 
@@ -31,24 +24,27 @@ def term_weights(records: DataFrame, record: str, terms: str, k1: float | None =
     counts once, and if its rows differ, the one with most terms (of those the greatest) counts.  Records without id are
     left out.  An empty table gives an empty result.
 
-    Records are shuffled once, by id, with their terms sorted: runs of equal terms are the counts, found within the row and
-    without a shuffle.  Document frequencies are added up on the map side, which is the only shuffle by term while the
-    vocabulary, counted before, is small enough to be broadcast.  A larger one is joined by ``skew_join``, where terms in very
-    many records, fewer than 256 by counting, meet a broadcast of their own frequencies, so neither vocabulary nor frequent
-    terms must fit anywhere at once.
+    Records are shuffled once, by id, and their terms counted where they then are, without another shuffle.  Document
+    frequencies are added up on the map side, which is the only shuffle by term while the vocabulary, counted before, is
+    small enough to be broadcast.  A larger one is joined by ``skew_join``, where terms in very many records, fewer than 256
+    by counting, meet a broadcast of their own frequencies, so neither vocabulary nor frequent terms must fit anywhere at once.
     """
     scratch = Scratch(records.sparkSession)
     clean = F.filter(F.transform(F.coalesce(F.col(terms), F.array().cast("array<string>")), lower_name), lambda t: t.isNotNull())
     rows = records.select(F.col(record).alias("r"), clean.alias("t")).where("r is not null")
-    best = rows.groupBy("r").agg(F.max(F.struct(F.size("t").alias("length"), "t")).alias("row"))
-    counted = best.select("r", "row.length", F.array_sort("row.t").alias("t")).select("r", "length", _runs(F.col("t")).alias("counts"))
-    sized = (F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("length") > 0, F.col("length"))).alias("mean"))
-    whole, sizes = scratch.save_observed(counted, *sized)
-    total, mean = sizes["n"], sizes["mean"] or 1.0
-
-    opened = whole.select("r", "length", F.explode("counts").alias("c")).select("r", "length", "c.term", "c.tf")
-    frequencies, seen = scratch.save_observed(opened.groupBy("term").agg(F.count(F.lit(1)).alias("df")), F.count(F.lit(1)).alias("terms"))
-    met = lookup(opened, frequencies, "term", seen["terms"])
+    best = rows.groupBy("r").agg(F.max(F.struct(F.size("t").alias("length"), "t")).alias("row")).select("r", "row.length", "row.t")
+    whole = Observation()
+    sizes = (F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("length") > 0, F.col("length"))).alias("mean"))
+    best = best.observe(whole, *sizes)
+    counts = scratch.save(best.select("r", "length", F.explode("t").alias("term")).groupBy("r", "length", "term").agg(F.count(F.lit(1)).alias("tf")))
+    try:
+        seen = whole.get
+    except Py4JJavaError:  # Spark leaves an observation out of the plan of a table that it knows to be empty
+        seen = best.agg(*sizes).first()
+    total, mean = seen["n"], seen["mean"] or 1.0
+
+    frequencies, seen = scratch.save_observed(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), F.count(F.lit(1)).alias("terms"))
+    met = lookup(counts, frequencies, "term", seen["terms"])
     n, df, tf = F.lit(float(total)), F.col("df"), F.col("tf")
     rare = F.log((n + 1) / (df + 1)) if rarity == "smoothed" else F.log1p((n - df + 0.5) / (df + 0.5))
     gain = tf if k1 is None else tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / mean))
