@@ -59,13 +59,12 @@ def reading_levels(texts: DataFrame, text_id: str, text: str, least_words: int =
     scratch = Scratch(texts.sparkSession)
     given = texts.select(F.col(text_id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
 
-    def worded(rows: DataFrame) -> DataFrame:
-        words = rows.withColumn("words", F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
-        return words.where(F.size("words") >= least_words)
-
+    # null for short texts; as no filter or generator refers to the expression, words are extracted once a row
+    words = F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))
+    enough = F.get(F.filter(F.array(words), lambda w: F.size(w) >= least_words), F.lit(0)).alias("words")
     share = min(1.0, SEED_TEXTS / max(1, given.count()))
     seeds = given.where(F.pmod(F.xxhash64("id", F.lit(37)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else given
-    leveled = scratch.save(worded(seeds).select("words", level_of(school_grade(F.col("text"), F.size("words"))).alias("level")))
+    leveled = scratch.save(seeds.select("text", enough).select("words", level_of(school_grade(F.col("text"), F.size("words"))).alias("level"))).where("words is not null")
     levels = range(len(GRADES) + 1)
     priors = {r["level"]: r["n"] for r in leveled.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
     used = [k for k in levels if priors.get(k)]
@@ -77,7 +76,8 @@ def reading_levels(texts: DataFrame, text_id: str, text: str, least_words: int =
     known, sums = scratch.save_observed(counts, F.count(F.lit(1)).alias("words"), *(F.sum(f"c{k}").alias(f"c{k}") for k in used))
     below = {k: sums[f"c{k}"] + SMOOTHING * sums["words"] for k in used}
     model = known.select("word", *(F.log((F.col(f"c{k}") + SMOOTHING) / below[k]).alias(f"w{k}") for k in used))
-    met = lookup(worded(given).select("id", F.explode("words").alias("word")), model, "word", sums["words"], how="left")
+    scored = given.select("id", F.explode_outer(enough).alias("word")).where("word is not null")
+    met = lookup(scored, model, "word", sums["words"], how="left")
     scores = met.groupBy("id").agg(*(F.sum(F.coalesce(f"w{k}", F.lit(0.0))).alias(f"s{k}") for k in used))
     whole = sum(priors.values())
     ranked = [F.struct((F.col(f"s{k}") + math.log(priors[k] / whole)).alias("s"), F.lit(-k).alias("k")) for k in used]
