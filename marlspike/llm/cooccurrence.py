@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from marlspike.skew import lookup
 
 #: Neighbours of an item that one stripe holds, about; an item with more of them gets several stripes.
 STRIPE_NEIGHBOURS = 4096
-#: Neighbours that a task adds up before it sends its stripes on.
+#: Rows that a task adds up before it sends its stripes on.
 HELD = 1_000_000
 
 
@@ -41,12 +42,11 @@ def together(items: DataFrame, pairs: DataFrame, record: str, item: str, pair: s
     spelling count once a record.  ``n`` counts the records with both, ``n_a`` and ``n_b`` those with each, ``total`` those
     with any item; ``lift`` is n * total / (n_a * n_b) and ``llr`` the log-likelihood ratio.
 
-    Method of stripes: the neighbours of an item in one record come together as an array; each task adds such arrays up to
-    one associative array an item, neighbour to count, and the tasks' arrays are merged by item.  An array has some
-    STRIPE_NEIGHBOURS entries: an item's shares are split by a hash of the neighbour, so that an item that is in a third of
-    all records has many stripes rather than one task, and a task sends its arrays on when it holds HELD entries.  That
-    makes two shuffles of stripes, by record and item, and by item and share, and none of pairs: an item's own count is
-    joined once a stripe, the neighbours' when the stripe is opened, from a broadcast while the items, counted before, are
+    Method of stripes: each task adds the neighbours of its rows up to one associative array an item, neighbour to count,
+    and the tasks' arrays are merged by item.  An array has some STRIPE_NEIGHBOURS entries: an item's shares are split by a
+    hash of the neighbour, so that an item that is in a third of all records has many stripes rather than one task, and a
+    task sends its arrays on when it has taken HELD rows.  That makes two shuffles, one that drops what a record gives
+    again and one of stripes, by item and share; counts are never grouped by pair.  An item's own count is joined once a stripe, the neighbours' when the stripe is opened, from a broadcast while the items, counted before, are
     few, by ``skew_join`` beyond.  Pairs are never made from a record's items here; they are read.
 
     Blank and missing names, pairs without two names and an item with itself give no row; rows without a record are left
@@ -63,8 +63,8 @@ def together(items: DataFrame, pairs: DataFrame, record: str, item: str, pair: s
 
     x, y = lower_name(F.get(pair, F.lit(0))), lower_name(F.get(pair, F.lit(1)))
     two = pairs.where(F.size(pair) == 2).select(F.col(record).alias("r"), x.alias("x"), y.alias("y")).where("r is not null and x != y")
-    in_record = two.groupBy("r", F.least("x", "y").alias("a")).agg(F.collect_set(F.greatest("x", "y")).alias("bs"))
-    parts = in_record.select("a", "bs").mapInArrow(_adding(shares), _STRIPE)
+    once = two.select("r", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).dropDuplicates()
+    parts = once.select("a", "b").mapInArrow(_adding(shares), _STRIPE)
     ordered = parts.repartition("a", "share").sortWithinPartitions("a", "share")
     stripes = scratch.save(ordered.mapInArrow(_merging(min_records), _STRIPE))
 
@@ -103,30 +103,29 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _adding(shares: int):
-    """Adds the arrays of neighbours of a task up by item and splits them into shares."""
-
-    def split(held: dict[str, Counter]) -> Iterator[tuple[str, int, Counter]]:
-        for a, counts in held.items():
-            if shares == 1:
-                yield a, 0, counts
-                continue
-            parts: dict[int, Counter] = {}
-            for b, n in counts.items():
-                parts.setdefault(zlib.crc32(b.encode()) % shares, Counter())[b] = n
-            for share, part in parts.items():
-                yield a, share, part
+    """Adds the neighbours of a task's rows up by item, in shares; items and neighbours are numbered, and runs of sorted numbers counted."""
+
+    def stripes(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        (a, items), (b, neighbours) = ((x.indices.to_numpy(), x.dictionary) for x in (whole.column(c).chunk(0).dictionary_encode() for c in ("a", "b")))
+        share = np.array([zlib.crc32(x.encode()) % shares for x in neighbours.to_pylist()], dtype=np.int64)
+        key, counts = np.unique((a * np.int64(shares) + share[b]) * len(neighbours) + b, return_counts=True)
+        group, b = np.divmod(key, len(neighbours))
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        ends = np.append(starts, len(group)).astype(np.int32)
+        names, parts = np.divmod(group[starts], shares)
+        arrays = [items.take(pa.array(names)), pa.array(parts, pa.int32()), pa.ListArray.from_arrays(ends, neighbours.take(pa.array(b))), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()))]
+        yield from pa.Table.from_arrays(arrays, schema=_ARROW).to_batches(max_chunksize=1000)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
-        size = 0
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for a, bs in zip(batch.column("a").to_pylist(), batch.column("bs").to_pylist(), strict=True):
-                held.setdefault(a, Counter()).update(bs)
-                size += len(bs)
-            if size >= HELD:
-                yield from _batches(split(held))
-                held, size = {}, 0
-        yield from _batches(split(held))
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= HELD:
+                yield from stripes(held)
+                held = []
+        if sum(x.num_rows for x in held):
+            yield from stripes(held)
 
     return add
 
