@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marlspike.plans import linkage, models, movement, prices, shops, texts, topics, tracks
+from marlspike.plans import files, linkage, models, movement, prices, shops, texts, topics, tracks
 
-MODULES = [linkage, topics, movement, shops, prices, tracks, texts, models]
+MODULES = [linkage, files, topics, movement, shops, prices, tracks, texts, models]
 
 
 def queries() -> dict:

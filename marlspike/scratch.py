@@ -48,6 +48,11 @@ class Scratch:
         self._paths.append((saved, path))
         return saved
 
+    def folder(self) -> str:
+        """A new path among the tables, for files of any form."""
+        self._n += 1
+        return f"{self.root}/{self._n:04d}"
+
     def save_observed(self, df: DataFrame, *observed: Column) -> tuple[DataFrame, dict]:
         """As ``save``, with aggregates of the rows that come out of the same pass; a task run twice may count twice."""
         seen = Observation()

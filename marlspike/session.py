@@ -27,3 +27,10 @@ def local_session(cores: int | str = 8, memory: str = "12g", app: str = "marlspi
 def read(spark: SparkSession, directory: str, table: str):
     """One Parquet table of a directory."""
     return spark.read.parquet(f"{directory}/{table}.parquet")
+
+
+def register(spark: SparkSession, directory: str, tables: list[str]) -> None:
+    """Tables of a directory as views of the session, and ``whole_hours(start, end)`` of milliseconds as a function in SQL."""
+    for table in tables:
+        read(spark, directory, table).createOrReplaceTempView(table)
+    spark.sql("create or replace temporary function whole_hours(s bigint, e bigint) returns bigint return if(e >= s, (e - s) div 3600000, -((s - e) div 3600000))")

@@ -105,10 +105,13 @@ def tagged_records(spark: SparkSession, path: str, tag: str, partitions: int | N
 
 
 def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(title, contents) of the ``<page>`` records of an XML dump."""
+    """(title, contents) of the ``<page>`` records of an XML dump, with or without an element around them all.
+
+    Records are cut at their end tags, so a large file has many tasks; those that are no XML come with nulls.
+    """
     fields = "title string, revision struct<text: struct<_VALUE: string>>"
-    pages = spark.read.format("xml").option("rowTag", "page").schema(fields).load(path)
-    return pages.select("title", F.col("revision.text._VALUE").alias("contents"))
+    pages = tagged_records(spark, path, "page").select(F.from_xml("record", F.lit(fields)).alias("page"))
+    return pages.select("page.title", F.col("page.revision.text._VALUE").alias("contents"))
 
 
 def citations(spark: SparkSession, path: str) -> DataFrame:
