@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlspike.operators import risk
@@ -95,8 +95,30 @@ def return_density(spark: SparkSession, directory: str) -> DataFrame:
     return risk.density(_returns(spark, directory), "return")
 
 
+def density_points(spark: SparkSession, directory: str) -> DataFrame:
+    """The density of the returns at the points, numbered."""
+    found = risk.density(_returns(spark, directory), "return")
+    place = F.row_number().over(Window.orderBy("x")) - 1  # a hundred rows
+    return found.select(place.alias("place"), F.round("density", 4).alias("density"))
+
+
+def factor_checks(spark: SparkSession, directory: str) -> DataFrame:
+    """Whether what the fitted weights leave of each symbol's returns is at right angles to every column, as least squares leave it."""
+    returns = Scratch(spark).save(_returns(spark, directory))
+    factors = ["1-URGENT", "2-HIGH"]
+    wide = risk.factor_matrix(returns, "date", "symbol", "return", factors).toDF("date", "urgent", "high")
+    others = returns.where(~F.col("symbol").isin(factors))
+    weights = risk.factor_weights(others, "symbol", "date", "return", wide, ["urgent", "high"])
+    columns = F.array(F.lit(1.0), *risk.featurized([F.col("urgent"), F.col("high")]))
+    met = others.join(wide, "date").join(F.broadcast(weights), "symbol").withColumn("x", columns)
+    left = F.col("return") - F.aggregate(F.zip_with("weights", "x", lambda w, x: w * x), F.lit(0.0), lambda s, x: s + x)
+    met = met.withColumn("left", left)
+    sums = met.groupBy("symbol").agg(*(F.sum(F.col("left") * F.element_at("x", i + 1)).alias(f"s{i}") for i in range(7)))
+    return sums.select("symbol", (F.greatest(*(F.abs(f"s{i}") for i in range(7))) < 1e-6).alias("holds"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (fill_returns, long_histories, factor_matrix, featurized, var_cvar, single_factor_fit, kupiec, factor_weights, monte_carlo_var, return_density)}
+    return {f.__name__: f for f in (fill_returns, long_histories, factor_matrix, featurized, var_cvar, single_factor_fit, kupiec, factor_weights, factor_checks, monte_carlo_var, return_density, density_points)}
 
 
 _RETURNS = f"""
@@ -116,7 +138,10 @@ returns as (select symbol, date, (close - f) / f as r from lagged where f is not
 def oracles() -> dict[str, str]:
     tail = "select round(avg(x), 6) as t from (select l_extendedprice as x from lineitem order by x limit (select greatest(count(*) // 20, 1) from lineitem))"
     part = "(case when {0} = 0 then 0 else ({0}) * ln({1}) end)"
+    kernel = "m as (select min(r) as lo, max(r) as hi, count(*) as n, 1.06 * stddev_pop(r) * power(count(*), -0.2) as w from returns), g as (select i, lo + (hi - lo) * i / 100 as x, n, w from m, (select unnest(range(100)) as i))"
     return {
+        "density_points": f"with {_RETURNS}, {kernel} select i::int as place, round(sum(exp(-0.5 * power((x - r) / w, 2))) / (max(n) * max(w) * sqrt(2 * pi())), 4) as density from g, returns group by i",
+        "factor_checks": f"with {_RETURNS} select distinct symbol, true as holds from returns where symbol not in ('1-URGENT', '2-HIGH')",
         "fill_returns": f"with {_RETURNS} select symbol, date, round(r, 6) as ret from returns",
         "long_histories": f"with {_RETURNS} select symbol, count(*) as days from daily group by symbol having count(*) >= 1310",
         "factor_matrix": f"with {_RETURNS} select date, round(max(r) filter (symbol = '1-URGENT'), 6) as urgent, round(max(r) filter (symbol = '2-HIGH'), 6) as high, round(max(r) filter (symbol = '3-MEDIUM'), 6) as medium from returns group by date",

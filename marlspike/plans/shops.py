@@ -67,8 +67,16 @@ def union_labelled(spark: SparkSession, directory: str) -> DataFrame:
     return regions.union_all(parts).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
 
 
+def union_kinds(spark: SparkSession, directory: str) -> DataFrame:
+    """As ``union_labelled``, with a table for every kind there is, and one for events without a kind."""
+    events = read(spark, directory, "events").select("event_id", "value", F.col("event_type").alias("kind"))
+    kinds = [r["kind"] for r in events.select("kind").distinct().collect()]  # a handful: one plan each
+    parts = [events.where(F.col("kind").eqNullSafe(F.lit(kind))) for kind in kinds] or [events]
+    return regions.union_all(parts).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (alias_canonical_counts, popularity_lookup, negative_items, mean_auc, type_counts, json_property_count, union_labelled)}
+    return {f.__name__: f for f in (alias_canonical_counts, popularity_lookup, negative_items, mean_auc, type_counts, json_property_count, union_labelled, union_kinds)}
 
 
 _BOUGHT = "bought as (select o_custkey as u, l_suppkey as i, count(*) as n from orders join lineitem on l_orderkey = o_orderkey group by 1, 2)"
@@ -82,6 +90,7 @@ negs as (select u, i from (select n.u, n.i, p, row_number() over (partition by n
 
 def oracles() -> dict[str, str]:
     return {
+        "union_kinds": "select event_type as kind, count(*) as n, round(avg(value), 6) as mean, min(value) as min, max(value) as max from events group by 1",
         "alias_canonical_counts": "with m as (select p_partkey as alias, min(p_partkey) over (partition by p_name) as target from part) select coalesce(target, l_partkey) as l_partkey, count(*) as count from lineitem left join m on alias = l_partkey group by 1",
         "popularity_lookup": f"with {_BOUGHT}, t as (select i, sum(n)::bigint as prediction from bought group by i) select u as user, i as item, prediction from bought left join t using (i)",
         "negative_items": f"with {_BOUGHT}, {_NEGATIVES} select u as user, i as item from negs",

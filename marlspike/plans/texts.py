@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +72,35 @@ def lsa_topterms(spark: SparkSession, directory: str) -> DataFrame:
     return spark.createDataFrame(rows, "concept int, term string, weight double")
 
 
+def lsa_neighbours(spark: SparkSession, directory: str) -> DataFrame:
+    """Terms and pages nearest to a term and to the page that weighs most in the first concept."""
+    space = _latent(spark, directory)
+    page = space.top_documents(1, 1)[0].first()["doc_id"]
+    found = [("term like term", str(t), w) for t, w in space.terms_like(space.vocabulary[0], 5)]
+    for kind, pages in (("page for term", space.documents_for_term(space.vocabulary[0], 5)), ("page like page", space.documents_like(page, 5))):
+        found += [(kind, str(r["doc_id"]), r["score"]) for r in pages.collect()]
+    return spark.createDataFrame(found, "kind string, name string, score double")
+
+
+def lsa_checks(spark: SparkSession, directory: str) -> DataFrame:
+    """What must hold of any decomposition: factors of length 1 at right angles, falling strengths, and what is nearest to itself."""
+    space = _latent(spark, directory)
+    documents, k = Scratch(spark).save(space.documents), min(6, len(space.strengths))
+    products = documents.agg(*(F.sum(F.element_at("u", i + 1) * F.element_at("u", j + 1)) for i in range(k) for j in range(k))).first()
+    own = space.terms.T @ space.terms
+    page = documents.agg(F.min("doc_id")).first()[0]
+    near = space.documents_like(page, 1).first()
+    checks = [
+        ("documents", bool(np.abs(np.array(products).reshape(k, k) - np.eye(k)).max() < 1e-6)),
+        ("terms", bool(np.abs(own - np.eye(len(own))).max() < 1e-6)),
+        ("strengths", bool((np.diff(space.strengths) <= 1e-9).all() and space.strengths[-1] > 0)),
+        ("like itself", abs(space.terms_like(space.vocabulary[0], 1)[0][1] - 1) < 1e-9 and abs(near["score"] - 1) < 1e-9),
+    ]
+    return spark.createDataFrame(checks, "name string, holds boolean")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (article_pages, page_terms, tfidf_idf, tfidf_weights, lsa_topdocs, lsa_topterms)}
+    return {f.__name__: f for f in (article_pages, page_terms, tfidf_idf, tfidf_weights, lsa_topdocs, lsa_topterms, lsa_neighbours, lsa_checks)}
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -86,6 +114,7 @@ total as (select count(*)::double as n from docs)"""
 
 def oracles() -> dict[str, str]:
     return {
+        "lsa_checks": "select name, true as holds from (values ('documents'), ('terms'), ('strengths'), ('like itself')) t(name)",
         "article_pages": "select page_id, title from (select distinct page_id, title, contents from doctexts where contents is not null) where trim(contents) <> '' and not regexp_matches(contents, '^\\s*#redirect\\b', 'i') and not contains(coalesce(title, ''), '(disambiguation)')",
         "tfidf_idf": f"with {_TERMS} select term, count(*) as df, round(ln((max(n) + 1) / (count(*) + 1)), 6) as idf from counts, total group by term",
         "tfidf_weights": f"with {_TERMS}, v as (select term, count(*) as df from counts group by term order by sum(tf) desc, term limit 20000) select doc_id, term, tf, round(tf * ln((n + 1) / (df + 1)), 6) as weight from counts join v using (term), total",

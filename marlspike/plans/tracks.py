@@ -84,8 +84,26 @@ def deviation_histogram(spark: SparkSession, directory: str) -> DataFrame:
     return series.histogram(deviations, "std", 20)
 
 
+def _minutes(spark: SparkSession, directory: str, kind: str) -> DataFrame:
+    """An hour from each event of a kind on, by user, in minutes since the first of January 2024."""
+    start = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) / SECOND - 1_704_067_200) / 60)
+    events = read(spark, directory, "events").where(F.col("event_type") == kind)
+    return events.select(F.col("user_id").cast("string").alias("contig"), start.alias("start"), (start + 60).alias("end"), F.col("value").alias("score"))
+
+
+def binding_rows(spark: SparkSession, directory: str) -> DataFrame:
+    """Training rows of hours of clicks: bound by purchases, conserved by views, on sequences made of the parts' names."""
+    names = _sequences(spark, directory).where("seq != ''")
+    genome = names.select(F.col("p_partkey").cast("string").alias("contig"), F.repeat("seq", 8000).alias("seq"))
+    clicks, bought, seen = (_minutes(spark, directory, kind) for kind in ("click", "purchase", "view"))
+    sites = _minutes(spark, directory, "signup").select("contig", "start")
+    rows = regions.binding_rows(clicks, bought, seen, genome, sites, MOTIF, "F", "C")
+    measured = {c: F.round(c, 6).alias(c) for c in ("pwm_score", "phylop_avg", "phylop_min", "phylop_max")}
+    return rows.select("contig", "start", "end", *measured.values(), "closest_tss", "tf", "cell_line", "label")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (region_overlap, region_labels, nearest_site, pwm_max, series_stats, stack_series, stack_round_trip, deviation_histogram)}
+    return {f.__name__: f for f in (region_overlap, region_labels, nearest_site, binding_rows, pwm_max, series_stats, stack_series, stack_round_trip, deviation_histogram)}
 
 
 _EVENTS = "e as (select event_id, user_id, event_type, value, epoch_us(ts) // 1000000 as s from events)"
@@ -96,7 +114,20 @@ def oracles() -> dict[str, str]:
     letters = "translate(regexp_replace(upper(p_name), '[^A-Z]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC')"
     weight = " * ".join(f"(case substr(seq, i::bigint + {k}, 1) " + " ".join(f"when '{b}' then {w}::double" for b, w in column.items()) + " end)" for k, column in enumerate(MOTIF))
     stats = "s as (select vec_id, avg(v) as mean, stddev_pop(v) as std, max(v) as max, arg_min(t, (v, t)) as argmin from (select vec_id, unnest(range(64)) as t, unnest(embedding)::double as v from embeddings) group by vec_id)"
+    minutes = "e as (select user_id::varchar as contig, event_type as kind, floor((epoch_us(ts) / 1000000.0 - 1704067200) / 60)::bigint as s, value from events)"
+    best = f"p as (select p_partkey::varchar as contig, repeat({letters}, 8000) as f from part where {letters} <> '')"
+    scored = f"cut as (select contig, s, substr(f, s + 1, 60) as seq from (select distinct contig, s from peaks) join p using (contig)), both_ways as (select contig, s, seq from cut union all select contig, s, reverse(translate(seq, 'ACGT', 'TGCA')) from cut), w as (select contig, s, {weight} as v from (select *, unnest(range(1, 59)) as i from both_ways where length(seq) = 60)), motif as (select contig, s, max(v) as pwm from w group by 1, 2)"
+    binding = f"""with {minutes}, {best},
+peaks as (select contig, s from e where kind = 'click'),
+labelled as (select a.contig, a.s, bool_or(b.s is not null) as label from peaks a left join e b on b.kind = 'purchase' and a.contig = b.contig and a.s < b.s + 60 and b.s < a.s + 60 group by 1, 2),
+kept as (select a.contig, a.s, avg(b.value) as av, min(b.value) as lo, max(b.value) as hi from peaks a join e b on b.kind = 'view' and a.contig = b.contig and a.s < b.s + 60 and b.s < a.s + 60 group by 1, 2),
+{scored},
+met as (select l.contig, l.s, l.label, k.av, k.lo, k.hi from labelled l join kept k on l.contig = k.contig and l.s < k.s + 60 and k.s < l.s + 60),
+near as (select m.contig, m.s, min(abs(m.s + 30 - t.s)) as d from (select distinct contig, s from met) m join e t on t.kind = 'signup' and t.contig = m.contig group by 1, 2)
+select contig, s as start, s + 60 as "end", round(pwm, 6) as pwm_score, round(av, 6) as phylop_avg, round(lo, 6) as phylop_min, round(hi, 6) as phylop_max, d as closest_tss, 'F' as tf, 'C' as cell_line, label
+from met join motif using (contig, s) left join near using (contig, s)"""
     return {
+        "binding_rows": binding,
         "region_overlap": f"with {_EVENTS} select a.event_id, b.event_id as other_id from e a join e b on a.user_id = b.user_id and a.s < b.s + 3600 and b.s < a.s + 3600 where a.event_type = 'click' and b.event_type = 'purchase'",
         "region_labels": f"with {_EVENTS}, l as (select a.event_id, count(b.event_id) > 0 as label from e a left join e b on a.user_id = b.user_id and b.event_type = 'purchase' and a.s < b.s + 3600 and b.s < a.s + 3600 where a.event_type = 'click' group by 1), m as (select a.event_id, round(avg(b.value), 6) as mean, min(b.value) as min, max(b.value) as max from e a join e b on a.user_id = b.user_id and b.event_type = 'view' and a.s < b.s + 3600 and b.s < a.s + 3600 where a.event_type = 'click' group by 1) select * from l join m using (event_id)",
         "nearest_site": f"with {_EVENTS} select a.event_id, min(abs(a.s - b.s)) as distance from e a left join e b on a.user_id = b.user_id and b.event_type = 'purchase' where a.event_type = 'click' group by 1",
