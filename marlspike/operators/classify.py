@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler, VectorIndexer
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit, TrainValidationSplitModel
+from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplitModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlspike.scratch import Scratch
+
 
 def priors(df: DataFrame, label: str) -> DataFrame:
     """(label, prior): each class's share of the rows."""
@@ -73,7 +76,7 @@ def tuned_tree(df: DataFrame, label: str, seed: int = 1, depths=(1, 20), bins=(4
     assembler = VectorAssembler(inputCols=[c for c in df.columns if c != label], outputCol="features")
     model = DecisionTreeClassifier(seed=seed, labelCol=label, featuresCol="features", predictionCol="prediction")
     grid = ParamGridBuilder().addGrid(model.impurity, list(impurities)).addGrid(model.maxDepth, list(depths)).addGrid(model.maxBins, list(bins)).addGrid(model.minInfoGain, list(gains)).build()
-    return _split(Pipeline(stages=[assembler, model]), grid, label, seed).fit(df)
+    return _best(Pipeline(stages=[assembler, model]), grid, df, label, seed)
 
 
 def tuned_forest(df: DataFrame, label: str, seed: int = 1, gains=(0.0, 0.05), trees=(1, 10), categories: int = 40, bins: int = 300, depth: int = 20) -> TrainValidationSplitModel:
@@ -82,9 +85,24 @@ def tuned_forest(df: DataFrame, label: str, seed: int = 1, gains=(0.0, 0.05), tr
     indexer = VectorIndexer(maxCategories=categories, inputCol="features", outputCol="indexed", handleInvalid="keep")
     model = RandomForestClassifier(seed=seed, labelCol=label, featuresCol="indexed", predictionCol="prediction", impurity="entropy", maxDepth=depth, maxBins=bins)
     grid = ParamGridBuilder().addGrid(model.minInfoGain, list(gains)).addGrid(model.numTrees, list(trees)).build()
-    return _split(Pipeline(stages=[assembler, indexer, model]), grid, label, seed).fit(df)
+    return _best(Pipeline(stages=[assembler, indexer, model]), grid, df, label, seed)
+
 
+def _best(pipeline: Pipeline, grid: list, df: DataFrame, label: str, seed: int) -> TrainValidationSplitModel:
+    """The pipeline fitted to all rows with the parameters that do best on a tenth of them when fitted to the others.
 
-def _split(pipeline: Pipeline, grid: list, label: str, seed: int) -> TrainValidationSplit:
+    A forest keeps a summary of its training, and with it the session, which can't be sent to executors once the session
+    has observed a query; so the summary goes before the model is used, which Spark's own search leaves no room for.
+    """
     judge = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="accuracy")
-    return TrainValidationSplit(seed=seed, estimator=pipeline, evaluator=judge, estimatorParamMaps=grid, trainRatio=0.9)
+    train, held = (Scratch(df.sparkSession).save(part) for part in df.randomSplit([0.9, 0.1], seed))
+    reached = [judge.evaluate(_sendable(pipeline.fit(train, options)).transform(held)) for options in grid]
+    best = max(range(len(grid)), key=reached.__getitem__)
+    return TrainValidationSplitModel(_sendable(pipeline.fit(df, grid[best])), reached)
+
+
+def _sendable(model: PipelineModel) -> PipelineModel:
+    stage = model.stages[-1]
+    if getattr(stage, "hasSummary", False):
+        stage._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return model
