@@ -28,12 +28,32 @@ def plain_wiki_text(contents: Column) -> Column:
     return F.btrim(F.regexp_replace(text, r"'{2,}|={2,}|<[^>]*>", ""))
 
 
+#: Forms that no rule leads to their lemma (fixed values); auxiliaries and pronouns stay as they are, as stop words name them so.
+IRREGULAR = {
+    "men": "man", "women": "woman", "children": "child", "feet": "foot", "teeth": "tooth", "mice": "mouse", "geese": "goose", "people": "person",
+    "was": "was", "has": "has", "does": "does", "this": "this", "his": "his", "its": "its", "always": "always", "perhaps": "perhaps", "series": "series", "species": "species",
+    "went": "go", "gone": "go", "goes": "go",
+    "began": "begin", "begun": "begin", "became": "become", "brought": "bring", "built": "build", "bought": "buy", "came": "come", "chose": "choose", "chosen": "choose",
+    "drew": "draw", "drawn": "draw", "fell": "fall", "fallen": "fall", "felt": "feel", "found": "find", "gave": "give", "given": "give", "grew": "grow", "grown": "grow",
+    "held": "hold", "kept": "keep", "knew": "know", "known": "know", "led": "lead", "left": "leave", "lost": "lose", "made": "make", "met": "meet", "paid": "pay",
+    "ran": "run", "said": "say", "saw": "see", "seen": "see", "sent": "send", "shown": "show", "sold": "sell", "spoke": "speak", "spoken": "speak", "stood": "stand",
+    "taken": "take", "took": "take", "taught": "teach", "thought": "think", "told": "tell", "won": "win", "wrote": "write", "written": "write",
+}
+
+
 def lemma(word: Column) -> Column:
-    """A word's stem by its ending, for plurals and the forms in -ing and -ed; there is no dictionary behind it."""
+    """The form a word stands under: irregular forms by a table, plurals and forms in -ing and -ed by their ending.
+
+    A doubled consonant before the ending is halved (hopping, hop); a stem of one syllable that ends in a single vowel and
+    consonant, or one in -at, -iz, -ur, -as, -c, -v or -g after a vowel, gets its e back (hoping, hope).  Parts of speech aren't known.
+    """
     ies = F.regexp_replace(word, r"(?<=[a-z]{2})ies$", "y")
     plural = F.regexp_replace(ies, r"(?<=(?:s|x|z|ch|sh))es$|(?<=[a-rt-z]{2})(?<!u)s$", "")
     doubled = F.regexp_replace(plural, r"(?<=[aeiouy][a-z]{0,6})([bdgmnprt])\1(?:ing|ed)$", "$1")
-    return F.regexp_replace(doubled, r"(?<=[aeiouy][a-z]{1,9})(?:ing|ed)$", "")
+    silent = F.regexp_replace(doubled, r"^([^aeiouy]*[aeiouy][b-df-hj-np-tvz])(?:ing|ed)$|^([a-z]*[aeiouy][a-z]*(?:at|iz|ur|as|[aeiouy][cvg]))(?:ing|ed)$", "$1$2e")
+    stem = F.regexp_replace(silent, r"(?<=[aeiouy][a-z]{1,9})(?:ing|ed)$", "")
+    table = F.create_map(*(F.lit(x) for pair in IRREGULAR.items() for x in pair))
+    return F.coalesce(F.element_at(table, word), stem)
 
 
 def terms(text: Column, stop_words: Iterable[str], lower_first: bool = True, lemmas: bool = True) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,10 +138,12 @@ def geojson(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.col("pos").cast("long").alias("feature_id"), "col.id", "col.properties", "col.geometry")
 
 
-def stop_words(path: str) -> list[str]:
-    """One word a line."""
-    with open(path, encoding="utf-8") as words:
-        return [w.strip() for w in words if w.strip()]
+def stop_words(spark: SparkSession | str, path: str | None = None) -> list[str]:
+    """One word a line, of a file in any place the session can read, or of a local file if only its path is given."""
+    if path is None:
+        with open(spark, encoding="utf-8") as words:
+            return [w.strip() for w in words if w.strip()]
+    return [r["w"] for r in lines(spark, path).select(F.btrim("value").alias("w")).where("w != ''").collect()]
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -215,6 +218,54 @@ def image_stack(spark: SparkSession, path: str, shape: tuple[int, int, int], dty
     return numbered.mapInPandas(decode, "t int, x int, y int, z int, value double")
 
 
+def tiff_stack(spark: SparkSession, path: str) -> DataFrame:
+    """(t, x, y, z, value) of TIFF files; t is the number in the file's name, z the page. One file is one row to start with.
+
+    Grey pages in strips, of whole numbers or floats of 8 to 64 bits, plain or deflated; others are an error.
+    """
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for t, content in zip(batch["t"], batch["content"], strict=True):
+                for z, page in enumerate(_tiff_pages(bytes(content))):
+                    y, x = (a.ravel() for a in np.indices(page.shape))
+                    yield pd.DataFrame({"t": np.full(page.size, t), "x": x, "y": y, "z": np.full(page.size, z), "value": page.ravel().astype(float)})
+
+    files = spark.read.format("binaryFile").load(path)
+    numbered = files.select(F.regexp_extract("path", r"(\d+)[^\d/]*$", 1).try_cast("int").alias("t"), "content")
+    return numbered.mapInPandas(decode, "t int, x int, y int, z int, value double")
+
+
+#: Tags of a page and the sizes of field types, as the format names them (fixed values).
+_WIDTH, _HEIGHT, _BITS, _PACKING, _OFFSETS, _SAMPLES, _LENGTHS, _DIFFERENCES, _FORMAT = 256, 257, 258, 259, 273, 277, 279, 317, 339
+_FIELDS = {1: "u1", 3: "u2", 4: "u4"}
+
+
+def _tiff_pages(content: bytes) -> Iterator[np.ndarray]:
+    order = {b"II": "<", b"MM": ">"}.get(content[:2])
+    if not order or np.frombuffer(content, f"{order}u2", 1, 2)[0] != 42:
+        raise ValueError("no TIFF file")
+    at, seen = int(np.frombuffer(content, f"{order}u4", 1, 4)[0]), set()
+    while at and at not in seen:
+        seen.add(at)
+        count = int(np.frombuffer(content, f"{order}u2", 1, at)[0])
+        tags: dict[int, list[int]] = {}
+        for entry in range(at + 2, at + 2 + 12 * count, 12):
+            tag, kind = (int(v) for v in np.frombuffer(content, f"{order}u2", 2, entry))
+            if kind in _FIELDS:
+                n, field = int(np.frombuffer(content, f"{order}u4", 1, entry + 4)[0]), np.dtype(order + _FIELDS[kind])
+                place = entry + 8 if n * field.itemsize <= 4 else int(np.frombuffer(content, f"{order}u4", 1, entry + 8)[0])
+                tags[tag] = np.frombuffer(content, field, n, place).tolist()
+        packing = tags.get(_PACKING, [1])[0]
+        if tags.get(_SAMPLES, [1])[0] != 1 or packing not in (1, 8, 32946) or tags.get(_DIFFERENCES, [1])[0] != 1:
+            raise ValueError("a TIFF page of a form that isn't read")
+        strips = [content[start : start + length] for start, length in zip(tags[_OFFSETS], tags[_LENGTHS], strict=True)]
+        pixels = b"".join(strips if packing == 1 else map(zlib.decompress, strips))
+        dtype = np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[tags.get(_FORMAT, [1])[0]] }{tags[_BITS][0] // 8}")
+        yield np.frombuffer(pixels, dtype, tags[_WIDTH][0] * tags[_HEIGHT][0]).reshape(tags[_HEIGHT][0], tags[_WIDTH][0])
+        at = int(np.frombuffer(content, f"{order}u4", 1, at + 2 + 12 * count)[0])
+
+
 def numbers(spark: SparkSession, start: int, count: int, tasks: int | None = None) -> DataFrame:
     """(id): consecutive integers."""
     return spark.range(start, start + count, 1, tasks)
