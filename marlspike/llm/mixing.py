@@ -39,7 +39,8 @@ class Mix:
     of a hash, are cut into blocks of that many tokens: a row is in the block in which it starts.  A source's k-th slot
     takes its block k modulo its blocks, so it starts again when all are used, at most ``max_repeats`` times; slots beyond
     that stay empty.  As the first empty slot is known, the report has two mixes: the whole one, where the shares of the
-    others rise above their targets, and the balanced one, the slots before the first empty one, where all shares hold.
+    others rise above their targets, and the balanced one, the slots before the first empty one of a source that fills any,
+    where the shares of all such sources hold.
 
     The unit interval is cut into cells, each source is listed in the cells it touches, and a slot meets only the sources
     of its cell, so any number of targets will do.  Running sums are taken by chunks (``running_sum``), so a source with
@@ -120,7 +121,8 @@ class Mix:
         """
         slots = self._slots()
         asked = slots.groupBy("source").agg(F.count(F.lit(1)).alias("slots"), F.count_if(~F.col("filled")).alias("empty_slots"), F.min(F.when(~F.col("filled"), F.col("slot"))).alias("first_empty"))
-        asked, seen = self.scratch.save_observed(asked, F.min("first_empty").alias("first"))
+        able = F.when(F.col("empty_slots") < F.col("slots"), F.col("first_empty"))  # a source that fills no slot at all has no say
+        asked, seen = self.scratch.save_observed(asked, F.min(able).alias("first"))
         upto = self.slots if seen["first"] is None else seen["first"]
         balanced = F.sum(F.when(F.col("slot") < upto, F.col("n_tokens")).otherwise(0))
         took = self.mixed().groupBy("source").agg(F.sum("n_tokens").alias("reached"), (F.max("pass") + 1).alias("passes"), balanced.alias("balanced"))

@@ -39,6 +39,9 @@ def test_mix_before_the_first_empty_slot_keeps_the_shares(spark):
     report = {r["source"]: r for r in Mix(sizes, "id", "source", "n", targets).report().collect()}
     assert report["small"]["short"] and not report["big"]["short"] and report["small"]["empty_slots"] > 0
     assert report["big"]["actual_share"] > 0.6 and abs(report["big"]["balanced_share"] - 0.5) < 0.01
+    more = targets.union(spark.createDataFrame([("gone", 0.25, 3)], targets.schema))
+    report = {r["source"]: r for r in Mix(sizes, "id", "source", "n", more).report().collect()}
+    assert report["gone"]["short"] and report["gone"]["reached"] == 0 and abs(report["big"]["balanced_share"] - 0.5) < 0.01
 
 
 def test_stripes_in_many_shares_and_flushes(spark, rows, monkeypatch):
