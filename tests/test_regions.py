@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from marlspike.operators import regions, risk
+from marlspike.plans import tracks
 
 
 def test_left_overlaps_of_a_shuffled_side(spark):
@@ -28,6 +29,29 @@ def test_nearest_keeps_every_point(spark, rows):
     assert rows(regions.nearest(points.limit(0), sites, "k", "at", "site")) == []
 
 
+def test_binding_rows_of_sequences_never_written_out(spark, tmp_path):
+    """8000 copies of the name would be 2.4 GB; the motif is met only where two copies touch."""
+    name = "BC" + "A" * 299_998
+    events = [(300_000 - 10, "click", 1.0), (300_000, "purchase", 1.0), (300_020, "view", 2.5), (300_040, "signup", 1.0)]
+    made = spark.createDataFrame(events, "minute long, event_type string, value double")
+    made.select(F.timestamp_seconds(1_704_067_200 + F.col("minute") * 60).alias("ts"), F.lit(7).alias("user_id"), "event_type", "value").write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(7, name)], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    row = tracks.binding_rows(spark, str(tmp_path)).first()
+    best = round(tracks.MOTIF[0]["A"] * tracks.MOTIF[1]["C"] * tracks.MOTIF[2]["G"], 6)
+    assert (row["start"], row["pwm_score"], row["phylop_avg"], row["closest_tss"], row["label"]) == (299_990, best, 2.5, 20, True)
+
+
+def test_letters_of_copies(spark):
+    """As substr of the copies written out; regions that aren't wholly inside are null."""
+    cut = spark.createDataFrame([(s, s + 4) for s in range(-16, 16)], "s long, e long")
+    for copies in (1, 3):
+        whole = "GATAC" * copies
+        first = {s: len(whole) + s + 1 if s < -1 else s for s in range(-16, 16)}
+        want = {s: whole[f : f + 4] if 0 <= f <= len(whole) - 4 else None for s, f in first.items()}
+        got = cut.select("s", regions.letters(F.lit("GATAC"), F.col("s"), F.col("e"), copies).alias("x")).collect()
+        assert dict(map(tuple, got)) == want
+
+
 def test_smallest(spark, monkeypatch):
     """Ranks of dirty, tied and widely spread values, with nearly nothing left to sort."""
     monkeypatch.setattr(risk, "FEW_ROWS", 3)
