@@ -3,6 +3,7 @@ import struct
 import numpy as np
 
 from marlspike.operators.graph import major_topics
+from marlspike.plans import files
 from marlspike.sources import readers
 
 
@@ -33,6 +34,19 @@ def test_csv(spark, tmp_path, rows):
     assert len(readers.connections(spark, write(tmp_path / "k.csv", ",".join(["0"] * 42) + "\n")).columns) == 42
 
 
+def test_sums_of_times_beyond_a_long(spark, tmp_path):
+    """Sums that leave a bigint behind are exact; the others keep the type they have in SQL."""
+    n, late = 2_300_000, 4_102_444_799_000
+    columns = ["'a' as license", f"{late} as pickuptime", "1000L as dropofftime", *(f"1d as {c}" for c in ("pickupx", "pickupy", "dropoffx", "dropoffy"))]
+    spark.range(n).selectExpr(*columns).write.parquet(str(tmp_path / "trips.parquet"))
+    found = files.read_trips(spark, str(tmp_path))
+    assert n * late > 2**63 and tuple(found.first()) == (n, n * late, n * 1000, float(n))
+    assert [t for _, t in found.dtypes] == ["bigint", "decimal(30,0)", "bigint", "double"]
+    spark.read.parquet(str(tmp_path / "trips.parquet")).limit(0).write.parquet(str(tmp_path / "none" / "trips.parquet"))
+    none = files.read_trips(spark, str(tmp_path / "none"))
+    assert tuple(none.first()) == (0, None, None, None) and none.dtypes[1] == ("pickups", "bigint")
+
+
 def test_records(spark, tmp_path, rows):
     path = write(tmp_path / "m.xml", '<S>\n<MedlineCitation a="1"><DescriptorName MajorTopicYN="Y">A</DescriptorName><DescriptorName MajorTopicYN="N">B</DescriptorName></MedlineCitation>x\n<MedlineCitation><a/></MedlineCitation></S>')
     records = readers.citations(spark, path)
